@@ -25,7 +25,7 @@ WITH RECURSIVE worded AS (
   FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(list_slice(w, i, i + 3), ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS s
   FROM worded),
 flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 common AS (
