@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import neardup
+from scriptorium.llm import exactdup, mixing, neardup
 from scriptorium.llm._common import table
 
 
@@ -14,8 +14,19 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicates(table(spark, sf_dir, "documents")).drop("file", "place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_neardup": op5_minhash_neardup,
+    "op8_entropy_mix": op8_entropy_mix,
+    "op9_stream_exact_dedup": op9_stream_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -39,5 +50,33 @@ reach AS (
   SELECT e.b, reach.r FROM reach JOIN both_ways e ON e.a = reach.v)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
 FROM sets s JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) m ON m.v = s.doc_id
+""",
+    "op8_entropy_mix": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS o
+  FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM sized GROUP BY source),
+weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM totals),
+filled AS (
+  SELECT *, CAST(sum(total) OVER () - coalesce(sum(3 * total) OVER p, 0) AS DOUBLE) / CAST(sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS DOUBLE) AS level,
+    row_number() OVER (ORDER BY CAST(total AS DOUBLE) / w, w) AS k
+  FROM weighed WINDOW p AS (ORDER BY CAST(total AS DOUBLE) / w, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+chosen AS (SELECT level FROM filled WHERE w * level <= 3 * total ORDER BY k LIMIT 1),
+goals AS (SELECT f.source, f.total, CASE WHEN f.w * c.level > 3 * f.total THEN CAST(3 * f.total AS DOUBLE) ELSE f.w * c.level END AS target FROM filled f, chosen c),
+parts AS (SELECT *, CASE WHEN total > 0 THEN CAST(floor(target / total) AS BIGINT) ELSE 0 END AS base FROM goals),
+placed AS (
+  SELECT s.*, p.total, p.target, p.base, sum(s.size) OVER (PARTITION BY s.source ORDER BY s.o, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size / 2.0 AS middle
+  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, total AS source_size, target,
+  CAST(size * (CASE WHEN total > 0 THEN base + CASE WHEN middle <= target - base * total THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS taken
+FROM placed
+""",
+    "op9_stream_exact_dedup": r"""
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM n
 """,
 }
