@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(), "scriptorium_code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch that returns columns by name."""
 
@@ -24,6 +47,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBa
                 if out is not None:
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

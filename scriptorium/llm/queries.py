@@ -6,14 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import exactdup, mixing, neardup
+from scriptorium.llm import exactdup, htmltext, imatch, licenses, mixing, neardup, pieces, quality, secrets, toxicity
 from scriptorium.llm._common import table
 
 
+def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+def op4_keyword_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_subsequence_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,13 +47,58 @@ def op9_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(table(spark, sf_dir, "documents")).drop("file", "place")
 
 
+def op10_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), k=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_minhash_neardup": op5_minhash_neardup,
-    "op8_entropy_mix": op8_entropy_mix,
-    "op9_stream_exact_dedup": op9_stream_exact_dedup,
+    q.__name__: q
+    for q in (
+        op1_ftrl_quality,
+        op2_imatch_fingerprints,
+        op3_rare_token_licenses,
+        op4_keyword_secrets,
+        op5_minhash_neardup,
+        op6_crf_toxicity,
+        op7_subsequence_html,
+        op8_entropy_mix,
+        op9_stream_exact_dedup,
+        op10_gumbel_pieces,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op2_imatch_fingerprints": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS k, count(*) OVER () AS n FROM documents),
+pairs AS (
+  SELECT a.doc_id, a.k, a.n, a.t, length(a.t) AS c, b.t AS u FROM d a JOIN d b ON b.k = a.k % a.n + 1),
+both_texts AS (
+  SELECT doc_id, k, n, c, 0 AS kind, t AS x FROM pairs
+  UNION ALL SELECT doc_id, k, n, c, 1, left(t, CAST(c - c // 2 AS BIGINT)) || left(u, CAST(c // 2 AS BIGINT)) FROM pairs),
+worded AS (
+  SELECT *, list_distinct(regexp_extract_all(lower(x), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM both_texts),
+flat AS (SELECT k, kind, n, unnest(w) AS term FROM worded),
+band AS (
+  SELECT term, md5(term) AS h FROM flat WHERE kind = 0 GROUP BY term, n HAVING count(*) >= 0.002 * n AND count(*) <= 0.1 * n),
+subsets AS (
+  SELECT * FROM (VALUES (0, '80'), (1, '80'), (2, '40'), (3, '40'), (4, '10'), (5, '10'), (6, '10'), (7, '10'), (8, '04'), (9, '04'), (10, '04'), (11, '04'), (12, '04'), (13, '04'), (14, '04'), (15, '04')) s(j, bound)),
+member AS (
+  SELECT f.k, f.kind, s.j, f.term FROM flat f JOIN band b USING (term) JOIN subsets s ON substr(b.h, CAST(2 * s.j + 1 AS BIGINT), 2) < s.bound),
+part AS (SELECT k, kind, j, left(md5(string_agg(term, ' ' ORDER BY term)), 8) AS c FROM member GROUP BY k, kind, j),
+has AS (SELECT DISTINCT k, kind FROM member),
+full_parts AS (
+  SELECT w.k, w.kind, s.j, CASE WHEN h.k IS NULL THEN left(md5(lower(w.x)), 8) ELSE coalesce(p.c, '--------') END AS c
+  FROM worded w CROSS JOIN subsets s LEFT JOIN has h ON h.k = w.k AND h.kind = w.kind LEFT JOIN part p ON p.k = w.k AND p.kind = w.kind AND p.j = s.j),
+fp AS (SELECT k, kind, string_agg(c, '' ORDER BY j) AS f FROM full_parts GROUP BY k, kind),
+near AS (
+  SELECT a.k, b.kind, CAST(count(*) FILTER (WHERE a.c = b.c AND a.c <> '--------') AS DOUBLE) / count(*) FILTER (WHERE a.c <> '--------' OR b.c <> '--------') AS v
+  FROM full_parts a JOIN pairs p ON p.k = a.k
+  JOIN full_parts b ON b.j = a.j AND ((b.k = a.k AND b.kind = 1) OR (b.k = p.k % p.n + 1 AND b.kind = 0)) WHERE a.kind = 0 GROUP BY a.k, b.kind)
+SELECT e.doc_id, CAST(e.c AS BIGINT) AS n_chars, sha256(e.x) AS edited_sha256, o.f AS fingerprint, m.f AS edited_fingerprint, ne.v AS near_edited, nn.v AS near_next
+FROM both_texts e JOIN fp o ON o.k = e.k AND o.kind = 0 JOIN fp m ON m.k = e.k AND m.kind = 1
+JOIN near ne ON ne.k = e.k AND ne.kind = 1 JOIN near nn ON nn.k = e.k AND nn.kind = 0 WHERE e.kind = 1
+""",
     "op5_minhash_neardup": r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
