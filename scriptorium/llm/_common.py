@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Where a row of a file scan lies.
+PLACE = ("__file", "__place")
+
+
+def placed_rows(df: DataFrame) -> DataFrame:
+    """df with PLACE: a file scan as it is, anything else staged in the shared folder first."""
+    where = [F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1])]
+    try:
+        return df.select("*", *where)
+    except AnalysisException:
+        return written(df, "rows").select("*", *where)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

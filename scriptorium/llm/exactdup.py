@@ -17,27 +17,21 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import _bytes as B
-from scriptorium.llm._common import map_batches, shared_dir, written
+from scriptorium.llm._common import PLACE, map_batches, placed_rows, shared_dir, written
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def located(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, file, place: a file scan as it is, anything else staged in the shared folder."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")]
-    try:
-        return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *where)
-    except AnalysisException:
-        return written(rows, "contents").select("doc_id", "text", *where)
+    """doc_id, text, file, place of rows that may have their place already."""
+    rows = df if PLACE[0] in df.columns else placed_rows(df.select(id_col, text_col))
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(PLACE[0]).alias("file"), F.col(PLACE[1]).alias("place"))
 
 
 def normalised(piece: B.Slice) -> list[bytes]:
@@ -73,7 +67,7 @@ def run_stream(arrivals_path: str, schema, state_path: str, spark) -> DataFrame:
             spark.conf.unset(PROVIDER)
         else:
             spark.conf.set(PROVIDER, before)
-    kept = f"digest string, keep struct<doc_id: long, file: string, place: long>, n long, batch int"
+    kept = "digest string, keep struct<doc_id: long, file: string, place: long>, n long, batch int"
     return spark.read.schema(kept).parquet(updates).groupBy("digest").agg(F.max_by("keep", "n").alias("keep"), F.max("n").alias("n"))
 
 
@@ -115,3 +109,10 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keep, size = F.coalesce("own", "keep"), F.coalesce("own_n", "n")
     kept = (F.col("file") == keep["file"]) & (F.col("place") == keep["place"])
     return out.select("doc_id", keep["doc_id"].alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"), "file", "place")
+
+
+def deduplicated(df: DataFrame, **how) -> DataFrame:
+    """df's rows that stay."""
+    rows = placed_rows(df)
+    gone = exact_duplicates(rows, **how).where("not kept").select(F.col("file").alias(PLACE[0]), F.col("place").alias(PLACE[1]))
+    return rows.join(gone, list(PLACE), "left_anti").select(*df.columns)

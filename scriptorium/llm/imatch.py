@@ -91,7 +91,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def components(found: Column, otherwise: Column) -> Column:
     """The 16 components of sorted (term, mask) structs."""
-    parts = [F.filter(found, lambda x, j=j: x["mask"].bitwiseAND(1 << j) != 0) for j in range(len(SUBSETS))]
+
+    def within(j: int) -> Column:
+        return F.filter(found, lambda x: x["mask"].bitwiseAND(F.lit(1 << j)) != 0)
+
+    parts = [within(j) for j in range(len(SUBSETS))]
     hashed = F.array(*[F.when(F.size(p) > 0, F.substring(F.md5(F.array_join(F.transform(p, lambda x: x["term"]), " ")), 1, 8)).otherwise(NONE) for p in parts])
     return F.when(F.size(found) > 0, hashed).otherwise(F.array_repeat(F.substring(otherwise, 1, 8), len(SUBSETS)))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import _bytes as B
-from scriptorium.llm._common import map_batches, written
+from scriptorium.llm._common import PLACE, map_batches, placed_rows, written
 
 #: Newton stops when no source's words differ from its target by more than this part.
 EXACT = 1e-12
@@ -33,12 +33,14 @@ EXACT = 1e-12
 
 def _sized(batch: pa.RecordBatch) -> dict:
     counts = [c for s in B.slices(batch.column("text")) for c in B.tokens(s.data, s.offsets, B.SOLID).counts.tolist()]
-    return {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "size": pa.array(counts, pa.int64())}
+    kept = {k: batch.column(k) for k in batch.schema.names if k != "text"}
+    return kept | {"size": pa.array(counts, pa.int64())}
 
 
-def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(rows, _sized, "doc_id long, source string, size long")
+def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...]) -> DataFrame:
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), *keep)
+    kept = "".join(f", `{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    return map_batches(rows, _sized, f"doc_id long, source string{kept}, size long")
 
 
 def ranked(keys: DataFrame) -> DataFrame:
@@ -81,11 +83,11 @@ def rates(sources: DataFrame) -> DataFrame:
     return now.withColumn("rate", F.when(live, F.exp("dual")).otherwise(0.0)).drop("dual")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken: one row for each row of df."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken, and the columns `keep`: one row for each row of df."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    docs = written(sizes(df, id_col, text_col, source_col).withColumn("key", key).withColumn("order", order), "sizes")
+    docs = written(sizes(df, id_col, text_col, source_col, keep).withColumn("key", key).withColumn("order", order), "sizes")
     sources = rates(targets(docs.groupBy("key").agg(F.sum("size").alias("total")), weights, limit))
     base = F.floor("rate")
     sources = written(sources.select("key", "total", "target", "rate", base.alias("base"), (F.col("target") - base * F.col("total")).alias("extra")), "rates")
@@ -112,4 +114,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     near = near.withColumn("more", middle <= F.col("extra"))
     out = placed.where("side <> 0").withColumn("more", F.col("side") < 0).unionByName(near)
     copies = F.when(F.col("total") > 0, F.col("base") + F.col("more").cast("long")).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
+
+
+def mixed(df: DataFrame, **how) -> DataFrame:
+    """df's rows, each as often as the mix takes it."""
+    rows = placed_rows(df)
+    copies = mix(rows, keep=PLACE, **how).where("copies > 0").select(*PLACE, "copies")
+    return rows.join(copies, list(PLACE)).select(*df.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")

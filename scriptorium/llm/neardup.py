@@ -188,3 +188,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = signed.select("doc_id", "n_shingles", "low", "high").join(rep, ["low", "high", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """df's rows that are kept: one of each component, and all rows with a null id."""
+    gone = near_duplicates(df, id_col, **how).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return df.join(gone, id_col, "left_anti").select(*df.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import _bytes as B
-from scriptorium.llm._common import crc_mod, map_batches
+from scriptorium.llm._common import crc_mod, map_batches, ship
 from scriptorium.llm._labelled import labelled_sample
 
 #: Rows of each label that fitting may look at.
@@ -136,3 +136,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """doc_id, held_out, score, predicted for each row of docs."""
     out = score(docs, fit(docs, labels, sample))
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """docs' rows with a score of 0.5 or more; only texts go to Python."""
+    model = fit(docs, labels, sample)
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        found = [model.margins(s) >= 0 for s in B.slices(text)]
+        return pa.array(np.concatenate(found) if found else np.zeros(0, bool))
+
+    return docs.where(good(F.col("text").cast("string")))
