@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 from scriptorium.llm import _bytes as B
 from scriptorium.llm._common import PLACE, map_batches, placed_rows, shared_dir, written
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; stores take the disk that their rows need, and commits write what has changed.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def located(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,18 +59,20 @@ def run_stream(arrivals_path: str, schema, state_path: str, spark) -> DataFrame:
 
     Called again with the same paths it goes on from the stored state: what came before is not read again.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     updates = f"{state_path}/updates"
     try:
         keyed_state(spark.readStream.schema(schema).parquet(arrivals_path)).writeStream.outputMode("update").option("checkpointLocation", f"{state_path}/checkpoint").trigger(availableNow=True).foreachBatch(
             lambda batch, i: batch.write.mode("overwrite").parquet(f"{updates}/batch={i}")
         ).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     kept = "digest string, keep struct<doc_id: long, file: string, place: long>, n long, batch int"
     return spark.read.schema(kept).parquet(updates).groupBy("digest").agg(F.max_by("keep", "n").alias("keep"), F.max("n").alias("n"))
 
