@@ -38,15 +38,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch that returns columns by name."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterator[dict]], schema: str) -> DataFrame:
+    """mapInArrow with a function of one batch that returns columns by name, or yields them part by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
-                if out is not None:
-                    yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+                for part in [out] if isinstance(out, dict) else out:
+                    yield pa.RecordBatch.from_pydict(part)
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -27,7 +27,8 @@ decoding is exact. The model file is read on the driver only.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from scriptorium.llm import _bytes as B
 from scriptorium.llm._common import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE = 1 << 20
+SLICE = 1 << 19
 _SPACE, _FEED = 0x20, 0x0A
 
 
@@ -130,54 +131,55 @@ def lattice(data: np.ndarray, cuts: np.ndarray, model: Pieces) -> Lattice:
     place = np.arange(len(data))
     stop = cuts[unit + 1]
     lead = (data & 0xC0) != 0x80
-    sources, ends, ids = [], [], []
-    at = np.flatnonzero(lead)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # source, end, piece: shorter edges first
+    at = char_start = np.flatnonzero(lead)
+    width = np.diff(np.append(char_start, len(data)))
+    single = np.zeros(len(width), bool)  # characters that are a piece
     state, reach = np.zeros(len(at), np.int32), at.copy()
+    char = np.arange(len(at))
     while len(at):
         to = model.base[state] + data[reach]
-        good = (to < len(model.check)) & (model.check[np.minimum(to, len(model.check) - 1)] == state)
-        at, state, reach = at[good], to[good], reach[good] + 1
-        hit = model.piece[state]
-        full = hit >= 0
-        sources.append(at[full])
-        ends.append(reach[full])
-        ids.append(hit[full])
-        more = reach < stop[at]
-        at, state, reach = at[more], state[more], reach[more]
-    # characters that are no piece: their bytes
-    width = np.diff(np.append(np.flatnonzero(lead), len(data))) if len(data) else np.zeros(0, np.int64)
-    char = np.cumsum(lead) - 1
-    char_start = np.flatnonzero(lead)
-    single = np.zeros(len(width), bool)
-    if sources:
-        s, e = np.concatenate(sources), np.concatenate(ends)
-        single[char[s[(e - s) == width[char[s]]]]] = True
-    loose = np.flatnonzero(~single[char]) if len(data) else place
-    # text that begins amid a character has no lead byte for it
-    loose = np.union1d(loose, place[: char_start[0]] if len(char_start) else place).astype(np.int64)
-    source = np.concatenate([*sources, loose])
-    end = np.concatenate([*ends, loose + 1])
-    piece = np.concatenate([*ids, model.byte_piece[data[loose]]]).astype(np.int32)
+        good = np.flatnonzero((to < len(model.check)) & (model.check[np.minimum(to, len(model.check) - 1)] == state))
+        at, state, reach, char = at[good], to[good], reach[good] + 1, char[good]
+        full = np.flatnonzero(model.piece[state] >= 0)
+        source, end = at[full], reach[full]
+        own = char[full]
+        single[own[end - source == width[own]]] = True
+        found.append((source, end, model.piece[state[full]]))
+        more = np.flatnonzero(reach < stop[at])
+        at, state, reach, char = at[more], state[more], reach[more], char[more]
+    # characters that are no piece, and bytes before the first character: byte by byte
+    char_of = np.cumsum(lead) - 1
+    loose = np.flatnonzero((char_of < 0) | ~single[np.maximum(char_of, 0)]) if len(single) else place
+    found.insert(0, (loose, loose + 1, model.byte_piece[data[loose]]))
     # nodes: byte places with one more for the end of each unit
-    node_of = lambda p, u: p + u
-    src, dst = node_of(source, unit[source]), node_of(end, unit[source])
-    order = np.lexsort((-dst, src))
-    src, dst, piece = src[order], dst[order], piece[order]
     nodes = len(data) + len(cuts) - 1
+    first = np.zeros(nodes + 1, np.int64)
+    for source, _, _ in found:
+        first[source + unit[source] + 1] += 1
+    np.cumsum(first, out=first)
+    src, dst, piece = np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int32)
+    free = first[1:].copy()
+    for source, end, ids in found:  # the longest end up in front
+        node = source + unit[source]
+        free[node] -= 1
+        slot = free[node]
+        src[slot], dst[slot], piece[slot] = node, end + unit[source], ids
     last = np.zeros(nodes, bool)
     last[cuts[1:] + np.arange(len(cuts) - 1)] = True
-    first = np.searchsorted(src, np.arange(nodes + 1))
     beta = np.full(nodes, -np.inf)
     beta[last] = 0.0
     weight = model.weight[piece]
-    distance = (stop - place)[src - unit_of_nodes(cuts)[src]] if len(src) else np.zeros(0, np.int64)
+    distance = (stop - place)[src - unit_of_nodes(cuts)[src]]
+    if len(distance) and distance.max() < 65536:
+        distance = distance.astype(np.uint16)  # sorted by radix
     by_distance = np.argsort(distance, kind="stable")
     levels = np.concatenate([[0], np.flatnonzero(np.diff(distance[by_distance])) + 1, [len(by_distance)]]) if len(src) else [0]
     for a, b in zip(levels[:-1], levels[1:]):
         e = by_distance[a:b]
         own = src[e]
         value = weight[e] + beta[dst[e]]
-        heads = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
         top = np.maximum.reduceat(value, heads)
         safe = np.where(np.isfinite(top), top, 0.0)
         total = np.add.reduceat(np.exp(value - np.repeat(safe, np.diff(np.append(heads, len(own))))), heads)
@@ -203,17 +205,11 @@ class Path:
     unit: np.ndarray  # instance of the unit
 
 
-@dataclass
-class Sample:
-    ids: np.ndarray
-    log_prob: float
-    value: float
-    steps: tuple = field(default=())
-
-
-def _uniform(seeds: np.ndarray, place: np.ndarray, stream: int) -> np.ndarray:
+def _uniform(keys: np.ndarray, place: np.ndarray, stream: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """Uniform numbers of places in texts; rows: which of the keys each place has."""
     with np.errstate(over="ignore"):
-        return B.unit(B.mix(B.mix(seeds + np.uint64(stream) * np.uint64(0x9E3779B97F4A7C15)) ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))))
+        seeds = B.mix(keys + np.uint64(stream) * np.uint64(0x9E3779B97F4A7C15))
+        return B.unit(B.mix((seeds if rows is None else seeds[rows]) ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))))
 
 
 class Texts:
@@ -258,10 +254,10 @@ class Texts:
         count = np.zeros(n, np.int64)
         live = np.flatnonzero(~lat.last[node])
         here = node[live]
-        seeds = self.keys[self.row[unit]]
+        rows = self.row[unit]
         start = self.place(unit, node) - node
         while len(live):
-            u = _uniform(seeds[live], start[live] + here, stream)
+            u = _uniform(self.keys, start[live] + here, stream, rows[live])
             edge = lat.first[here]
             total = lat.q[edge]
             end = lat.first[here + 1] - 1
@@ -288,7 +284,7 @@ class Texts:
         with np.errstate(divide="ignore"):
             mass = before + np.log1p(-np.minimum(q, 1.0))
             mass[q > 1 - 1e-12] = -np.inf
-            noise = -np.log(_uniform(self.keys[rows], self.place(path.unit, path.node), stream))
+            noise = -np.log(_uniform(self.keys, self.place(path.unit, path.node), stream, rows))
             return mass - np.log(noise + np.exp(np.minimum(mass - bound[rows], 700)))
 
 
@@ -377,9 +373,6 @@ def row_seeds(column: pa.Array, seed: int) -> np.ndarray:
         return B.mix(key + B.mix(np.full(len(key), seed, np.uint64)))
 
 
-FORM = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("value", pa.float64()), ("inclusion", pa.float64())]))
-
-
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, alpha: float = 0.4, seed: int = 17, model_path: str = MODEL) -> DataFrame:
     """doc_id, samples (ids, log_prob, value, inclusion), exact: one row for each row of df.
 
@@ -388,24 +381,20 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     model = Pieces.load(model_path, alpha)
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
         keys = row_seeds(batch.column(0), seed)
-        ids, sizes, numbers, per_row, exact = [], [], [], [], []
-        for piece in B.slices(batch.column(1), SLICE):
+        for piece in B.slices(batch.column(1), SLICE):  # a result for each slice: a batch's ids are never all held
             texts = Texts(piece, model, keys[piece.first : piece.first + piece.rows])
-            for r, samples in enumerate(sample(texts, k)):
-                own = texts.data[texts.offsets[r] : texts.offsets[r + 1]]
-                exact.append(all(np.array_equal(model.decode(s[0]), own) for s in samples))
-                per_row.append(len(samples))
-                for s in samples:
-                    ids.append(s[0])
-                    sizes.append(len(s[0]))
-                    numbers.append(s[1:])
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
-        p, v, i = (pa.array(np.array(x, np.float64)) for x in zip(*numbers))
-        structs = pa.StructArray.from_arrays([lists, p, v, i], ["ids", "log_prob", "value", "inclusion"])
-        return {"doc_id": batch.column(0), "samples": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), structs), "exact": exact}
+            drawn = sample(texts, k)
+            own = [texts.data[a:b] for a, b in zip(texts.offsets, texts.offsets[1:])]
+            exact = [all(np.array_equal(model.decode(s[0]), o) for s in samples) for samples, o in zip(drawn, own)]
+            flat = [s for samples in drawn for s in samples]
+            ends = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s[0] for s in flat]).astype(np.int32)))
+            numbers = [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
+            structs = pa.StructArray.from_arrays([lists, *numbers], ["ids", "log_prob", "value", "inclusion"])
+            counts = np.concatenate([[0], np.cumsum([len(x) for x in drawn])]).astype(np.int32)
+            yield {"doc_id": batch.column(0).slice(piece.first, piece.rows), "samples": pa.ListArray.from_arrays(pa.array(counts), structs), "exact": exact}
 
     return map_batches(source, run, "doc_id long, samples array<struct<ids: array<int>, log_prob: double, value: double, inclusion: double>>, exact boolean")
 
