@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -130,6 +131,11 @@ def search(blocks: DataFrame, documents: DataFrame, vocabulary: DataFrame, text:
     def results() -> DataFrame:
         return group_and_cap(spark.createDataFrame(list(found.values()), form), per_document, limit)
 
+    def shown() -> int:
+        """How many rows results() has."""
+        groups = Counter(d for d, _, _ in {(r.document_id, r.section_id, r.block_type) for r in found.values()})
+        return min(limit, sum(min(per_document, n) for n in groups.values()))
+
     if not text:
         form = scored(title_rows(documents).drop("lexed"), Q.Query("", (), (), (), False, (), False), "direct").schema
         out.results = with_snippets(results(), ())
@@ -150,7 +156,7 @@ def search(blocks: DataFrame, documents: DataFrame, vocabulary: DataFrame, text:
         if match_class == "synonym":
             out.expansions = [e for e in Q.expansions(query) if e[1]]
         add(rows)
-        if len(found) and results().count() >= min(USEFUL_RESULTS, limit):
+        if shown() >= min(USEFUL_RESULTS, limit):
             break
     final = results()
     loosest = final.agg(F.max("tier")).first()[0]

@@ -23,7 +23,7 @@ def records(rows: DataFrame) -> DataFrame:
     """Search records (operators.records.RECORD) of the texts' lines."""
     lines = F.filter(F.transform(F.split("text", "\n"), collapse), lambda x: F.length(x) > 0)
     base = rows.select("doc_id", F.concat_ws(" ", "lang", "source", F.lit("document"), F.col("doc_id").cast("string")).alias("document_title"), lines.alias("lines"))
-    flat = base.select("doc_id", "document_title", F.substring(F.col("lines")[0], 1, HEADING_CHARACTERS).alias("heading"), F.posexplode("lines").alias("ordinal", "text"))
+    flat = base.select("doc_id", "document_title", F.substring(F.get("lines", F.lit(0)), 1, HEADING_CHARACTERS).alias("heading"), F.posexplode("lines").alias("ordinal", "text"))
     first = F.col("ordinal") == 0
     return flat.select(
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("document_id"), "document_title", F.lit("b-0").alias("section_id"), F.concat(F.lit("b-"), F.col("ordinal")).alias("block_id"),
