@@ -52,6 +52,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterator[di
     return df.mapInArrow(run, schema)
 
 
+#: Rows of keys and numbers that may be broadcast: about 10 MB.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of few short columns, to be broadcast where it is counted to be small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder in the shared checkpoint folder; in tests, where none is set, in /tmp/checkpoints."""
     context = spark.sparkContext

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import written
+from scriptorium.llm._common import small, written
 from scriptorium.llm.mixing import ranked
 
 LOW, HIGH = 0.002, 0.1
@@ -83,6 +83,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     previous = chain.select(((F.col("rank") - 1 + n) % F.lit(max(n, 1))).alias("rank"), F.col("doc_id").alias("head_id"), F.col("tie").alias("head_tie")).join(chain.select("rank", F.col("bucket").alias("to")), "rank")
     # of equal rows one will do
     same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
+    previous = small(written(previous, "heads"))  # one row for each bucket; beyond the bound the join shuffles
     copies = docs.join(previous, (F.col("tie") == F.col("head_tie")) & same).groupBy("to", "doc_id", "tie").agg(F.first("text").alias("text"))
     rows = docs.select("bucket", "doc_id", "text", "tie", F.lit(0).alias("copy")).union(copies.select(F.col("to").alias("bucket"), "doc_id", "text", "tie", F.lit(1)))
     order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
