@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import _bytes as B
-from scriptorium.llm._common import PLACE, map_batches, placed_rows, written
+from scriptorium.llm._common import PLACE, map_batches, placed_rows, small, written
 
 #: Newton stops when no source's words differ from its target by more than this part.
 EXACT = 1e-12
@@ -90,7 +90,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     docs = written(sizes(df, id_col, text_col, source_col, keep).withColumn("key", key).withColumn("order", order), "sizes")
     sources = rates(targets(docs.groupBy("key").agg(F.sum("size").alias("total")), weights, limit))
     base = F.floor("rate")
-    sources = written(sources.select("key", "total", "target", "rate", base.alias("base"), (F.col("target") - base * F.col("total")).alias("extra")), "rates")
+    sources = small(written(sources.select("key", "total", "target", "rate", base.alias("base"), (F.col("target") - base * F.col("total")).alias("extra")), "rates"))
 
     def cut(rows: DataFrame, prefix, already) -> DataFrame:
         """For each source the hash prefix in which its words reach `extra`, and the words before it."""
@@ -101,10 +101,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     first, second = F.substring("order", 1, 3), F.substring("order", 4, 3)
     limits = sources.select("key", "extra")
-    one = written(cut(docs, first, limits.withColumn("done", F.lit(0))), "cut")
+    one = small(written(cut(docs, first, limits.withColumn("done", F.lit(0))), "cut"))
     inside = docs.join(one, "key").where(first == F.col("cut")).drop("done", "cut")
     two = written(cut(inside, second, limits.join(one.select("key", "done"), "key")), "cut")
-    cuts = one.select("key", F.col("cut").alias("cut1")).join(two.select("key", F.col("cut").alias("cut2"), "done"), "key", "left")
+    cuts = small(written(one.select("key", F.col("cut").alias("cut1")).join(two.select("key", F.col("cut").alias("cut2"), "done"), "key", "left"), "cuts"))
     placed = docs.join(sources, "key").join(cuts, "key", "left")
     side = F.when(F.col("cut1").isNull() | (first < F.col("cut1")), -1).when(first > F.col("cut1"), 1).when(F.col("cut2").isNull() | (second < F.col("cut2")), -1).when(second > F.col("cut2"), 1).otherwise(0)
     placed = placed.withColumn("side", side)
