@@ -51,11 +51,11 @@ def block(b: dict) -> str:
             cells = []
             for c in row.get("cells", []):
                 tag = "th" if c.get("isHeader") else "td"
-                cells.append(f"<{tag}{_attributes(id=c.get('id'), colspan=c.get('columnSpan'), rowspan=c.get('rowSpan'))}>{''.join(map(block, c.get('blocks', [])))}</{tag}>")
+                cells.append(f"<{tag}{_attributes(id=c.get('id'), colspan=c.get('colSpan'), rowspan=c.get('rowSpan'))}>{''.join(map(block, c.get('blocks', [])))}</{tag}>")
             rows.append(f"<tr>{''.join(cells)}</tr>")
         return f"<table{ident}><tbody>{''.join(rows)}</tbody></table>"
     if kind == "figure":
-        image = f'<img src="{escape(b["assetId"])}" alt="{escape(b.get("altText") or "")}">' if b.get("assetId") else ""
+        image = f'<img src="{escape(b["imageId"])}" alt="{escape(b.get("altText") or "")}">' if b.get("imageId") and not b.get("unsupported") else ""
         caption = f"<figcaption>{runs(b['caption'])}</figcaption>" if b.get("caption") else ""
         return f"<figure{ident}>{image}{caption}</figure>"
     return ""

@@ -368,4 +368,47 @@ def safe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.size(allowed).cast("long").alias("external"), F.size(found).cast("long").alias("links"))
 
 
+def _pdf_of(heading: str, lines: list[str]) -> bytes:
+    """A one-page file: a large heading, then lines close together."""
+    said = lambda t: t.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    content = b"BT /F1 20 Tf 50 700 Td (%s) Tj ET BT /F1 10 Tf 50 650 Td 12 TL " % said(heading) + b" T* ".join(b"(%s) Tj" % said(x) for x in lines) + b" ET"
+    bodies = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
+        b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>",
+        b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content),
+        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>",
+    ]
+    out, at = b"%PDF-1.4\n", []
+    for i, body in enumerate(bodies, 1):
+        at.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (i, body)
+    table = b"".join(b"%010d 00000 n \n" % x for x in at)
+    return out + b"xref\n0 6\n0000000000 65535 f \n%strailer\n<< /Size 6 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (table, len(out))
+
+
+@_register(
+    "pdf_extract",
+    """WITH s AS (SELECT 'supplier-' || s_suppkey AS document_id, s_name AS h, 'nation ' || s_nationkey || ' key ' || s_suppkey AS t FROM supplier)
+SELECT document_id, 'heading' AS block_type, 'h-1' AS block_id, h AS text, h AS title FROM s UNION ALL SELECT document_id, 'paragraph', 'p-1', t || ' second line', h FROM s""",
+)
+def pdf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made from suppliers, read as PDF, flattened to records with a title chosen from them."""
+    from scriptorium.operators import records as R
+    from scriptorium.sources import pdf
+
+    @F.udf("binary")
+    def made(heading: str, line: str) -> bytes:
+        return _pdf_of(heading, [line, "second line"])
+
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    line = F.concat(F.lit("nation "), "s_nationkey", F.lit(" key "), "s_suppkey")
+    files = rows.select(F.concat(F.lit("in/supplier-"), "s_suppkey", F.lit(".pdf")).alias("path"), made("s_name", line).alias("content"))
+    parsed = pdf.documents(files).where("error_code is null")
+    heading = F.get_json_object("semantic", "$.pages[0].blocks[0].text[0].text")
+    title = T.select_title(F.lit(None).cast("string"), F.get_json_object("semantic", "$.metadata.title"), heading, F.col("original_filename"))
+    named = parsed.select(F.regexp_extract("original_filename", r"^(.*)\.pdf$", 1).alias("document_id"), title["title"].alias("title"), "semantic")
+    return R.split_failures(R.flatten(named))[0].select("document_id", "block_type", "block_id", "text", F.col("document_title").alias("title"))
+
+
 __all__ = ["ORACLES", "QUERIES", "collapse"]
