@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -397,9 +398,9 @@ def pdf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.operators import records as R
     from scriptorium.sources import pdf
 
-    @F.udf("binary")
-    def made(heading: str, line: str) -> bytes:
-        return _pdf_of(heading, [line, "second line"])
+    @F.pandas_udf("binary")
+    def made(headings: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([_pdf_of(h, [x, "second line"]) for h, x in zip(headings, lines)])
 
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     line = F.concat(F.lit("nation "), "s_nationkey", F.lit(" key "), "s_suppkey")
