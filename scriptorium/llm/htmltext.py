@@ -184,8 +184,11 @@ def extract(page: str | None, word: dict[str, float], tag: dict[str, float]) ->
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars for each row of df."""
-    marked = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where(F.lower("html").rlike(r"<(article|main)[\s>]"))
-    seen = [r.html for r in marked.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()]
+    pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
+    # ids alone are ordered: whole pages of every task never meet in one place
+    marked = pages.where(F.lower("html").rlike(r"<(article|main)[\s>]") & F.col("page_id").isNotNull()).select("page_id").distinct()
+    picked = marked.orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    seen = [r.html for r in pages.join(F.broadcast(picked), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()]  # at most `sample` pages
     word, tag = learn(seen)
     source = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
