@@ -13,11 +13,14 @@ a document's component is everything reachable over links.
 3. In each bucket a star: the hub (the member that shares most buckets) with every other member.
    Candidates are confirmed on the whole sets, built again from the whole texts.
 4. Two more turns: members that no confirmed link connects with a hub of the bucket get a hub of
-   their own (another in each bucket), tested against the members of all other components. A
-   bucket costs `stars` times its size, never all pairs. A pair is lost only if in none of the
-   buckets that it shares (11 of 42 at a similarity of 0.8) a hub connects it; README has the
-   measured recall.
-5. Components by hooking to the least neighbour and contracting, each round in the shared folder.
+   their own (another in each bucket), tested against the members of all other components. Stars
+   only save work; what they leave untested is tested next.
+5. The rest, exactly: in each bucket the members that were no hub there and lie in different
+   components. They are grouped over shared buckets, cut into blocks of like set size, and all sets
+   of two blocks are compared at once, but for blocks of one component. So every pair that shares a
+   bucket is tested or already connected. This costs the square of the members that stay apart in
+   a group, divided by the size classes.
+6. Components by hooking to the least neighbour and contracting, each round in the shared folder.
 
 Null texts count as empty. Rows with a null id come back with a null component and kept = true.
 Rows that share an id are one vertex; each row has the component of its own text's class. Extra
@@ -26,6 +29,8 @@ columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +40,8 @@ from scriptorium.llm import _bytes as B
 from scriptorium.llm._common import map_batches, written
 
 BINS, ROWS, BANDS = 256, 6, 42
+#: About how many sets, and shingles of them, make a block.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: For each bin, the order in which it asks the bins: itself first, so a full bin keeps its own.
 PROBES = np.array([[b, *(x for x in np.random.Generator(np.random.PCG64(b)).permutation(BINS) if x != b)] for b in range(BINS)]).T
@@ -130,6 +137,90 @@ def similar(batch: pa.RecordBatch, width: int, percent: int) -> dict:
     return {"a": batch.column(0).filter(pa.array(held)), "b": batch.column(1).filter(pa.array(held))}
 
 
+def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many values each set of a shares with each set of b; sets are (values, bounds)."""
+    n, m = len(a[1]) - 1, len(b[1]) - 1
+    out = np.zeros(n * m, np.int64)
+    both = np.intersect1d(a[0], b[0])
+    if not len(both):
+        return out.reshape(n, m)
+    sides = []
+    for values, bounds in (a, b):
+        column = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        held = both[column] == values
+        order = np.argsort(column[held], kind="stable")
+        sides.append((column[held][order], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[held][order]))
+    (ca, ra), (cb, rb) = sides
+    na, nb = np.bincount(ca, minlength=len(both)), np.bincount(cb, minlength=len(both))
+    first = np.cumsum(nb) - nb
+    dense = na * nb * 200 > n * m  # there a product of matrices is cheaper than listing pairs
+    place = np.cumsum(dense) - 1
+    for low in range(0, int(dense.sum()), 1024):
+        x, y = np.zeros((n, 1024), np.float32), np.zeros((m, 1024), np.float32)
+        for matrix, c, r in ((x, ca, ra), (y, cb, rb)):
+            here = dense[c] & (place[c] >= low) & (place[c] < low + 1024)
+            matrix[r[here], place[c[here]] - low] = 1
+        out += (x @ y.T).astype(np.int64).ravel()
+    c, r = ca[~dense[ca]], ra[~dense[ca]]
+    ends = np.cumsum(nb[c])
+    at = 0
+    while at < len(c):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + (1 << 22), "right")))
+        times = nb[c[at:stop]]
+        other = np.arange(times.sum()) + np.repeat(first[c[at:stop]] - (np.cumsum(times) - times), times)
+        out += np.bincount(np.repeat(r[at:stop], times) * m + rb[other], minlength=n * m)
+        at = stop
+    return out.reshape(n, m)
+
+
+def block_links(rows: pa.Table, width: int, percent: int) -> pa.Table:
+    """The similar pairs a, b across components: of side 0 with side 1, or of side 0 alone."""
+    side = rows["side"].to_numpy()
+    sets, reps, comps = [], [], []
+    for k in (0, 1):
+        mine = rows.filter(pa.array(side == k))
+        parts = [shingles(s, width) for s in B.slices(mine["text"])]
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(bounds) for _, bounds in parts)])
+        sets.append((np.concatenate([np.zeros(0, np.uint64), *(values for values, _ in parts)]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)))
+        reps.append(mine["rep"].to_numpy())
+        comps.append(mine["comp"].to_numpy())
+    other = 1 if len(reps[1]) else 0
+    shared = common(sets[0], sets[other])
+    total = np.diff(sets[0][1])[:, None] + np.diff(sets[other][1])
+    held = (100 * shared >= percent * (total - shared)) & (shared > 0) & (comps[0][:, None] != comps[other])
+    i, j = np.nonzero(held if other else np.triu(held, 1))
+    a, b = reps[0][i], reps[other][j]
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def rest_links(owned: DataFrame, hubs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links (a, b) among the members of a bucket (key, rep, n, comp) that no star has compared."""
+    free = owned.join(hubs, ["key", "rep"], "left_anti")
+    keys = free.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("least")).where("lo <> hi").select("key", "least")
+    left = written(free.join(keys, "key").select("rep", "n", "comp", "least").distinct(), "open")
+    if left.isEmpty():
+        return None
+    groups = components(left.select(F.col("least").alias("a"), F.col("rep").alias("b"))).select(F.col("v").alias("rep"), F.col("root").alias("group"))
+    # linked sets are of one size class or of neighbouring ones
+    step = math.log(max(1.01, 100 / max(1, percent))) * 1.001
+    rows = left.select("rep", "n", "comp").distinct().join(groups, "rep").withColumn("class", F.floor(F.log("n") / F.lit(step)))
+    most = rows.groupBy("group", "comp").count().groupBy("group").agg(F.max(F.struct("count", "comp")).alias("m")).select("group", F.col("m.comp").alias("major"))
+    rows = written(rows.join(most, "group").withColumn("minor", F.col("comp") != F.col("major")).drop("major"), "grouped")
+    where = ["group", "class", "minor"]
+    parts = rows.groupBy(*where).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    rows = rows.join(parts, where).withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    where.append("part")
+    blocks = written(rows.groupBy(*where).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    x, y = (blocks.select("group", *(F.col(c).alias(c + k) for c in ("class", "lo", "hi", "block"))) for k in "xy")
+    tasks = x.join(y, "group").where("blockx <= blocky and abs(classx - classy) <= 1 and least(lox, loy) <> greatest(hix, hiy)")
+    tasks = written(tasks.select("blockx", "blocky").withColumn("task", F.monotonically_increasing_id()), "tasks")
+    sides = tasks.select("task", F.col("blockx").alias("block"), F.lit(0).alias("side")).union(tasks.where("blockx <> blocky").select("task", F.col("blocky").alias("block"), F.lit(1).alias("side")))
+    whole = rows.join(blocks.select(*where, "block"), where).select("block", "rep", "comp").join(sides, "block")
+    whole = whole.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("task", "side", "rep", "comp", "text")
+    return written(whole.groupBy("task").applyInArrow(lambda t: block_links(t, width, percent), "a long, b long"), "found")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, root): the least vertex that each vertex of links (a, b) can reach."""
     left = written(links.select("a", "b").where("a <> b").distinct(), "links")
@@ -160,13 +251,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = written(source.join(central.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "candidates")
     members = written(members.select("key", "rep").distinct().join(central, "rep"), "members")
 
+    def labelled() -> DataFrame:
+        name = labels.select(F.col("v").alias("rep"), "root")
+        return written(members.join(name, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root"), "owned")
+
     links = labels = hubs = None  # hubs: (key, rep) that a star was drawn from
     owned = members.withColumn("comp", F.col("rep"))
     for turn in range(stars):
         rest = owned
         if labels is not None:
-            name = labels.select(F.col("v").alias("rep"), "root")
-            owned = written(members.join(name, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root"), "owned")
+            owned = labelled()
             had = owned.join(hubs, ["key", "rep"], "left_semi").select("key", "comp").distinct()
             rest = owned.join(had, ["key", "comp"], "left_anti")
         order = F.col("central") if turn == 0 else F.xxhash64("key", "rep", F.lit(turn))
@@ -181,6 +275,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = written(map_batches(whole.select("a", "b", "text_a", "text_b"), lambda x: similar(x, width, percent), "a long, b long"), "found")
         links = found if links is None else links.union(found)
         labels = components(links)
+        owned = None
+    found = rest_links(labelled() if owned is None else owned, hubs, texts, width, percent)
+    if found is not None:
+        labels = components(found if links is None else links.union(found))
 
     rep = classes.select("low", "high", "n_shingles", "rep")
     if labels is not None:

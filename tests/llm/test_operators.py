@@ -267,6 +267,69 @@ def test_near_duplicates(spark, docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {0, 4, 5, None}
 
 
+def family(n, edits, size=103, seed=11):
+    """Versions of one text of 100 four-word shingles, each with words of its own at a few places."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    out = []
+    for i in range(n):
+        words = [f"w{k}" for k in range(size)]
+        for k in rng.choice(size, int(rng.integers(edits[0], edits[1] + 1)), replace=False):
+            words[k] = f"v{int(rng.integers(40))}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def pair_components(rows, width, percent, in_bucket=False):
+    """Components over all pairs, or over those that share a bucket, by the plain counts of shared shingles."""
+    sets, keys = [], []
+    for s in B.slices(pa.array([t for _, t in rows])):
+        values, bounds = neardup.shingles(s, width)
+        sets += [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        keys += [set(k) for k in neardup.band_keys(neardup.one_permutation(values, bounds)).tolist()]
+    columns = {v: k for k, v in enumerate(sorted({int(v) for x in sets for v in x}))}
+    has = np.zeros((len(sets), len(columns)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [columns[int(v)] for v in x]] = 1
+    shared = has @ has.T
+    size = has.sum(1)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size - shared), 1))):
+        if not in_bucket or keys[i] & keys[j]:
+            x, y = find(int(i)), find(int(j))
+            root[max(x, y)] = min(x, y)
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_a_large_family_with_few_links(spark, monkeypatch):
+    """Stars leave pairs of a large family untested; every pair that shares a bucket has to be tested."""
+    rows = family(1500, (3, 5))
+    want = pair_components(rows, 4, 80, in_bucket=True)
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 400, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, width=4).collect()}
+    assert 1000 < len(set(want.values())) < 1500
+    # whole blocks are compared, so links without a shared bucket may come in, but none may be lost
+    every = pair_components(rows, 4, 80)
+    assert all(got[i] == got[r] for i, r in want.items()) and all(every[i] == every[r] for i, r in got.items())
+
+
+def test_common_values_of_all_sets():
+    rng = np.random.Generator(np.random.PCG64(2))
+    sides = []
+    for n in (37, 50):
+        sets = [np.unique(rng.integers(0, 30, 9).astype(np.uint64) ** np.uint64(2) + np.uint64(rng.integers(0, 2))) for _ in range(n)] + [np.zeros(0, np.uint64)]
+        sides.append((sets, (np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))))
+    (x, a), (y, b) = sides
+    assert neardup.common(a, b).tolist() == [[len(np.intersect1d(p, q)) for q in y] for p in x]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 4999), (4999, 4998), (7, 7)]
     got = {r.v: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
