@@ -1,6 +1,7 @@
 """The driver's documents table as a search corpus: every non-empty line of a text is a block.
 
-The first line is the heading of the document's only section; ten lines make a page.
+The first line is the document's first block, whole; its first 80 characters are the heading (a
+label) of the document's only section. Ten lines make a page.
 """
 
 from __future__ import annotations
@@ -28,6 +29,6 @@ def records(rows: DataFrame) -> DataFrame:
     return flat.select(
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("document_id"), "document_title", F.lit("b-0").alias("section_id"), F.concat(F.lit("b-"), F.col("ordinal")).alias("block_id"),
         "heading", F.array("heading").alias("heading_path"), (F.floor(F.col("ordinal") / LINES_PER_PAGE) + 1).cast("int").alias("page_number"),
-        F.when(first, "heading").otherwise("paragraph").alias("block_type"), F.when(first, F.col("heading")).otherwise(F.col("text")).alias("text"),
+        F.when(first, "heading").otherwise("paragraph").alias("block_type"), "text",
         F.lit(None).cast("string").alias("table_header"), F.lit(None).cast("string").alias("row_header"), "ordinal",
     )

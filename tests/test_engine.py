@@ -219,3 +219,15 @@ def test_titles(spark):
     assert got == [("Qtp1s0x1 1", "filename", 0.2), ("Host title", "host", 1.0), ("Meta title", "pdf-metadata", 0.8), ("Head", "first-page-heading", 0.65), ("Untitled document", "filename", 0.2), ("AFQTP X", "filename", 0.2)]
     ids = spark.createDataFrame([("My File (2).pdf",), ("2024 report.pdf",), ("???.pdf",)], "f string").select(T.document_id(F.col("f"), F.lit("0123456789abcdef")).alias("i")).collect()
     assert [r.i for r in ids] == ["my-file-2-0123456789ab", "document-2024-report-0123456789ab", "document-pdf-0123456789ab"]
+
+
+def test_first_line_is_searched_whole(spark):
+    """The heading is a label of 80 characters; the block holds the line to its end."""
+    from scriptorium.sources import corpus
+
+    line = " ".join(f"word{i}" for i in range(40)) + " Z-99 lastword"
+    rows = spark.createDataFrame([(1, f"\n {line}\nnext", "en", "src1")], "doc_id long, text string, lang string, source string")
+    first, second = corpus.records(rows).orderBy("ordinal").collect()
+    assert (first.text, first.heading, first.block_type) == (line, line[:80], "heading") and second.text == "next"
+    block = index.index_blocks(corpus.records(rows), english=False).where("ordinal = 0").first()
+    assert "\x01lastword\x01" in block.lex_simple and "Z99" in block.technical_variants
