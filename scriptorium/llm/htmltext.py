@@ -70,7 +70,7 @@ def tokenise(page: str) -> list[tuple]:
     out: list[tuple] = []
     stack: list[tuple[str, bool]] = []  # tag, boilerplate
     boiler = home = links = paragraphs = 0
-    place, size, low = 0, len(page), None
+    place, size = 0, len(page)
 
     def pop() -> None:
         nonlocal boiler, home, links, paragraphs
@@ -119,9 +119,8 @@ def tokenise(page: str) -> list[tuple]:
         if tag in _VOID or attributes.endswith("/"):
             continue
         if tag in _RAW:
-            low = low or page.lower()
-            stop = low.find("</" + tag, place)
-            place = size if stop < 0 else stop
+            end = re.compile("</" + re.escape(tag), re.I | re.A).search(page, place)
+            place = end.start() if end else size
             continue
         bad = _boilerplate(tag, attributes, home > 0)
         if not bad and tag != "article" and re.search(r"""\brole\s*=\s*["']?main\b""", attributes, re.I):

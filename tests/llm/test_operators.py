@@ -380,6 +380,12 @@ def test_main_text(spark):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
+def test_raw_elements_end_where_the_page_says():
+    """U+0130 lower-cases to two code points; places must be those of the page itself."""
+    page = "<article><p>" + "\u0130" * 40 + " before<SCRIPT>var a = 1</Script> the words after the script stay whole</p></article>"
+    assert htmltext.extract(page, htmltext.WORD, htmltext.TAG) == "\u0130" * 40 + " before the words after the script stay whole"
+
+
 def test_best_region_against_all_regions():
     rng = np.random.Generator(np.random.PCG64(4))
     for _ in range(50):
