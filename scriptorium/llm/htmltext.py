@@ -40,6 +40,7 @@ _NAMES = re.compile(
     re.I,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MAIN = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 #: Weights to start from; learning moves them.
@@ -63,29 +64,30 @@ def _boilerplate(tag: str, attributes: str, at_home: bool) -> bool:
 
 
 def tokenise(page: str) -> list[tuple]:
-    """Tags (0, name, is block) and text runs (1, text, kind, kept), in page order.
+    """Tags (0, name, is block, inside) and text runs (1, text, kind, kept, own, inside), in page order.
 
-    kind: home, p, link or "" by what encloses the run; kept: not in boilerplate.
+    kind: home, p, link or "" by what encloses the run; own: the same without home; kept: not in
+    boilerplate; inside: between the tags of an article, main or an element of role=main.
     """
     out: list[tuple] = []
-    stack: list[tuple[str, bool]] = []  # tag, boilerplate
+    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, home
     boiler = home = links = paragraphs = 0
     place, size = 0, len(page)
 
     def pop() -> None:
         nonlocal boiler, home, links, paragraphs
-        tag, bad = stack.pop()
+        tag, bad, main = stack.pop()
         boiler -= bad
-        home -= tag in _HOME
+        home -= main
         links -= tag == "a"
         paragraphs -= tag == "p"
 
     def text(run: str) -> None:
         if run and not run.isspace():
-            kind = "link" if links else "home" if home else "p" if paragraphs else ""
-            out.append((1, html.unescape(run), kind, not boiler))
+            own = "link" if links else "p" if paragraphs else ""
+            out.append((1, html.unescape(run), "home" if home and not links else own, not boiler, own, home > 0))
         elif run:
-            out.append((1, " ", "", not boiler))
+            out.append((1, " ", "", not boiler, "", home > 0))
 
     while place < size:
         m = _TOKEN.search(page, place)
@@ -101,21 +103,22 @@ def tokenise(page: str) -> list[tuple]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            if any(t == tag for t, _ in reversed(stack)):
+            within = home > 0
+            if any(t == tag for t, *_ in reversed(stack)):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
-            out.append((0, "/" + tag, tag not in _INLINE))
+            out.append((0, "/" + tag, tag not in _INLINE, within and home > 0))
             continue
         attributes = m[3] or m[6] or ""
         if tag in _CLOSES_P and paragraphs:
-            i = max(i for i, (t, _) in enumerate(stack) if t == "p")
-            if not any(t in ("td", "th", "li", "blockquote", "div", "section", *_HOME) for t, _ in stack[i:]):
+            i = max(i for i, (t, *_) in enumerate(stack) if t == "p")
+            if not any(t in ("td", "th", "li", "blockquote", "div", "section", *_HOME) for t, *_ in stack[i:]):
                 while len(stack) > i:
                     pop()
         if tag == "li" and stack and stack[-1][0] == "li":
             pop()
-        out.append((0, tag, tag not in _INLINE))
+        out.append((0, tag, tag not in _INLINE, home > 0))
         if tag in _VOID or attributes.endswith("/"):
             continue
         if tag in _RAW:
@@ -123,13 +126,10 @@ def tokenise(page: str) -> list[tuple]:
             place = end.start() if end else size
             continue
         bad = _boilerplate(tag, attributes, home > 0)
-        if not bad and tag != "article" and re.search(r"""\brole\s*=\s*["']?main\b""", attributes, re.I):
-            tag_kind = "main"
-        else:
-            tag_kind = tag
-        stack.append((tag_kind if tag_kind == tag else tag, bad))
+        main = tag in _HOME or not bad and bool(_MAIN.search(attributes))
+        stack.append((tag, bad, main))
         boiler += bad
-        home += tag in _HOME
+        home += main
         links += tag == "a"
         paragraphs += tag == "p"
     return out
@@ -139,13 +139,13 @@ def learn(pages: list[str]) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of words by kind and of tags by name, from pages with a marked article."""
     inside, outside, tags_in, tags_out = Counter(), Counter(), Counter(), Counter()
     for page in pages:
-        depth = 0
         for t in tokenise(page):
             if t[0] == 0:
-                depth = max(0, depth + (t[1] in _HOME) - (t[1].removeprefix("/") in _HOME and t[1][0] == "/"))
-                (tags_in if depth and t[1] not in _HOME else tags_out)[t[1]] += 1
+                (tags_in if t[3] and t[1].removeprefix("/") not in _HOME else tags_out)[t[1]] += 1
             elif n := len(t[1].split()):
-                (inside if depth and t[3] else outside)[t[2]] += n
+                (inside if t[5] and t[3] else outside)[t[4]] += n
+                if t[2] == "home":  # what a marked article is worth does not come from what its words stand in
+                    (inside if t[3] else outside)["home"] += n
     if not inside:
         return dict(WORD), dict(TAG)
 
@@ -185,7 +185,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """page_id, url, text, n_chars for each row of df."""
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
     # ids alone are ordered: whole pages of every task never meet in one place
-    marked = pages.where(F.lower("html").rlike(r"<(article|main)[\s>]") & F.col("page_id").isNotNull()).select("page_id").distinct()
+    marked = pages.where(F.lower("html").rlike(r"""<(article|main)[\s>]|\srole\s*=\s*["']?main\b""") & F.col("page_id").isNotNull()).select("page_id").distinct()
     picked = marked.orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     seen = [r.html for r in pages.join(F.broadcast(picked), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()]  # at most `sample` pages
     word, tag = learn(seen)

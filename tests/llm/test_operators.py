@@ -386,6 +386,18 @@ def test_raw_elements_end_where_the_page_says():
     assert htmltext.extract(page, htmltext.WORD, htmltext.TAG) == "\u0130" * 40 + " before the words after the script stay whole"
 
 
+def test_articles_by_role_and_without_marks():
+    """role=main is an article, and what is learned from marked pages keeps lists and bare text elsewhere."""
+    inner = "<div>bare words stand here without any paragraph at all</div><ul>" + "".join(f"<li>point {k} of a list with some words" for k in range(6)) + "</ul><p>a paragraph of some length follows the list"
+    frame = "<body><nav><a href='/'>to the start</a></nav>{}<footer>the end</footer>"
+    text = "bare words stand here without any paragraph at all " + " ".join(f"point {k} of a list with some words" for k in range(6)) + " a paragraph of some length follows the list"
+    by_role = frame.format(f"<div role=main>{inner}</div>")
+    assert {t[2] for t in htmltext.tokenise(by_role) if t[0] == 1 and t[3] and t[1].strip()} == {"home"}
+    for marked in (frame.format(f"<article>{inner}</article>"), by_role):
+        word, tag = htmltext.learn([marked] * 20)
+        assert htmltext.extract(by_role, word, tag) == htmltext.extract(frame.format(f"<div>{inner}</div>"), word, tag) == text
+
+
 def test_best_region_against_all_regions():
     rng = np.random.Generator(np.random.PCG64(4))
     for _ in range(50):
