@@ -242,7 +242,8 @@ SELECT {', '.join(_SHOWN)}, others FROM capped WHERE n <= 2 ORDER BY rank DESC,
 _grouped()
 
 
-def _best_words(rows: DataFrame) -> DataFrame:
+def _first_three_words(rows: DataFrame) -> DataFrame:
+    """The query set of search_many: one query of three words for each benchmark text, its first three."""
     return rows.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("text"))
 
 
@@ -255,7 +256,7 @@ flat AS (SELECT DISTINCT document_id, block_id, unnest(words) AS lexeme FROM blo
 SELECT query_id, document_id, block_id FROM words_asked JOIN flat USING (lexeme) GROUP BY query_id, document_id, block_id HAVING count(*) = any_value(wanted)""",
 )
 def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search_many(_best_words(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), index.postings(_blocks(spark, sf_dir)))
+    return S.search_many(_first_three_words(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), index.postings(_blocks(spark, sf_dir)))
 
 
 @_register("search_ladder")
