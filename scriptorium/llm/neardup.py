@@ -23,8 +23,8 @@ a document's component is everything reachable over links.
 6. Components by hooking to the least neighbour and contracting, each round in the shared folder.
 
 Null texts count as empty. Rows with a null id come back with a null component and kept = true.
-Rows that share an id are one vertex; each row has the component of its own text's class. Extra
-columns are not read. An empty table gives an empty result.
+The classes are the vertices: rows that share an id but not their text lie apart, each in the
+component of its own text's class; a component is named by its least id. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import _bytes as B
-from scriptorium.llm._common import map_batches, written
+from scriptorium.llm._common import PLACE, map_batches, placed_rows, written
 
 BINS, ROWS, BANDS = 256, 6, 42
 #: About how many sets, and shingles of them, make a block.
@@ -118,7 +118,7 @@ def _signed(batch: pa.RecordBatch, width: int) -> dict:
     n = np.concatenate(count)
     keys = np.concatenate(keys)[n > 0]
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)), pa.array(keys.ravel()))
-    return {"doc_id": batch.column(0), "n_shingles": pa.array(n), "low": pa.array(np.concatenate(low)), "high": pa.array(np.concatenate(high)), "keys": lists}
+    return {"doc_id": batch.column(0), PLACE[0]: batch.column(2), PLACE[1]: batch.column(3), "n_shingles": pa.array(n), "low": pa.array(np.concatenate(low)), "high": pa.array(np.concatenate(high)), "keys": lists}
 
 
 def similar(batch: pa.RecordBatch, width: int, percent: int) -> dict:
@@ -236,19 +236,20 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, stars: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of df."""
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(map_batches(source, lambda x: _signed(x, width), "doc_id long, n_shingles long, low long, high long, keys array<long>"), "signatures")
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, stars: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and of PLACE what `keep` names: one row for each row of df."""
+    rows = df if PLACE[0] in df.columns else placed_rows(df.select(id_col, text_col))
+    source = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *PLACE)
+    signed = written(map_batches(source, lambda x: _signed(x, width), f"doc_id long, {PLACE[0]} string, {PLACE[1]} long, n_shingles long, low long, high long, keys array<long>"), "signatures")
     classes = written(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("low", "high", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys")),
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", *PLACE, "keys")).alias("r")).select("low", "high", "n_shingles", F.xxhash64("low", "high", "n_shingles").alias("rep"), "r.*"),
         "classes",
     )
     spread = classes.select(F.explode("keys").alias("key"), "rep", F.col("n_shingles").alias("n"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(spread.join(shared, "key"), "members")
     central = members.groupBy("rep").agg(F.sum("size").alias("central"), F.max("n").alias("n"))
-    texts = written(source.join(central.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "candidates")
+    texts = written(source.drop("doc_id").join(classes.join(central.select("rep"), "rep").select(F.col("rep").alias("doc_id"), *PLACE), list(PLACE)).select("doc_id", "text"), "candidates")
     members = written(members.select("key", "rep").distinct().join(central, "rep"), "members")
 
     def labelled() -> DataFrame:
@@ -280,15 +281,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if found is not None:
         labels = components(found if links is None else links.union(found))
 
-    rep = classes.select("low", "high", "n_shingles", "rep")
+    named = classes.select("low", "high", "n_shingles", "rep", F.col("doc_id").alias("least"))
     if labels is not None:
-        rep = rep.join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left").select("low", "high", "n_shingles", F.coalesce("root", "rep").alias("rep"))
-    out = signed.select("doc_id", "n_shingles", "low", "high").join(rep, ["low", "high", "n_shingles"], "left")
+        named = named.join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left").withColumn("rep", F.coalesce("root", "rep")).drop("root")
+    least = named.groupBy("rep").agg(F.min("least").alias("component"))
+    rep = named.join(least, "rep").select("low", "high", "n_shingles", F.col("component").alias("rep"))
+    out = signed.select("doc_id", *keep, "n_shingles", "low", "high").join(rep, ["low", "high", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *keep)
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """df's rows that are kept: one of each component, and all rows with a null id."""
-    gone = near_duplicates(df, id_col, **how).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+    rows = placed_rows(df)
+    gone = near_duplicates(rows, id_col, keep=PLACE, **how).where("not kept").select(*PLACE)
+    return rows.join(gone, list(PLACE), "left_anti").select(*df.columns)

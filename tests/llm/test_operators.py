@@ -330,6 +330,14 @@ def test_common_values_of_all_sets():
     assert neardup.common(a, b).tolist() == [[len(np.intersect1d(p, q)) for q in y] for p in x]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """A row that shares its id with a near copy of another document, but not the text, stays."""
+    words = [f"a{k}" for k in range(100)]
+    rows = [(3, " ".join(words)), (5, " ".join(words[:-1] + ["end"])), (5, " ".join(f"b{k}" for k in range(60)))]
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [rows[0], rows[2]]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 4999), (4999, 4998), (7, 7)]
     got = {r.v: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
