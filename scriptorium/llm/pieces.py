@@ -15,11 +15,12 @@ score is the probability that its perturbed value exceeds it.
 
 Weights of completions are only needed within a unit (a run that no piece crosses: pieces never run
 over the start of a space run or a line feed), so the lattice is built once for each distinct unit
-of a slice, and every text takes its units' tables. All texts of a slice advance together.
+of a slice, and that of a task's first units, up to a bound, is kept for its other slices. Units are
+told apart by their bytes. All texts of a slice advance together.
 
 Noise is a hash of (seed, row key, sample, place in the text): runs agree whatever the batches. Null
 texts count as empty and have one empty segmentation of probability 1. Rows with equal keys and
-texts have equal samples; a null key counts as one key. Fewer than k segmentations come back where
+texts have equal samples; a null key counts as one key. Fewer than k segmentations come back only where
 the lattice has no more. Extra columns are not read. U+2581 is encoded in bytes, so that
 decoding is exact. The model file is read on the driver only.
 """
@@ -116,13 +117,16 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 @dataclass
 class Lattice:
-    """Tables of the distinct units: nodes are byte places, edges sorted by node, longest first."""
+    """Tables of distinct units: nodes are byte places and one for the end, edges sorted by node, longest first."""
 
-    first: np.ndarray  # of a node: its first edge
+    first: np.ndarray  # of a node: its first edge; one entry more than nodes
+    last: np.ndarray  # of a node: whether it ends its unit
+    byte: np.ndarray  # of a node: the byte that starts there; 0 at the end of a unit
     target: np.ndarray
     pieces: np.ndarray
-    q: np.ndarray  # probability of an edge given its node
-    last: np.ndarray  # of a node: whether it ends its unit
+    upto: np.ndarray  # probability of an edge and those before it, given its node; 2 for the last that can be drawn
+    logq: np.ndarray  # logarithm of an edge's probability given its node
+    log_rest: np.ndarray  # the same of all other edges of its node
 
 
 def lattice(data: np.ndarray, cuts: np.ndarray, model: Pieces) -> Lattice:
@@ -178,44 +182,137 @@ def lattice(data: np.ndarray, cuts: np.ndarray, model: Pieces) -> Lattice:
     for a, b in zip(levels[:-1], levels[1:]):
         e = by_distance[a:b]
         own = src[e]
-        value = weight[e] + beta[dst[e]]
         heads = np.flatnonzero(np.diff(own, prepend=-1))
-        top = np.maximum.reduceat(value, heads)
-        safe = np.where(np.isfinite(top), top, 0.0)
-        total = np.add.reduceat(np.exp(value - np.repeat(safe, np.diff(np.append(heads, len(own))))), heads)
-        with np.errstate(divide="ignore"):
-            beta[own[heads]] = safe + np.log(total)
+        beta[own[heads]] = log_sums(weight[e] + beta[dst[e]], heads)
     with np.errstate(invalid="ignore"):
-        q = np.exp(weight + beta[dst] - beta[src])
-    q[~np.isfinite(beta[dst])] = 0.0
-    return Lattice(first, dst, piece, q, last)
+        logq = weight + beta[dst] - beta[src]
+    logq[~np.isfinite(beta[dst])] = -np.inf
+    byte = np.zeros(nodes, np.uint8)
+    byte[~last] = data
+    if not len(src):
+        return Lattice(first, last, byte, dst, piece, np.zeros(0), logq, logq.copy())
+    q = np.exp(logq)
+    heads = np.flatnonzero(np.diff(src, prepend=-1))
+    sizes = np.diff(np.append(heads, len(src)))
+    # sums of a node's edges alone, in their order: they do not depend on what else is in the slice
+    upto = q.copy()
+    for i in range(1, int(sizes.max())):
+        at = heads[sizes > i] + i
+        upto[at] += upto[at - 1]
+    end = heads + sizes - 1
+    while (q[end] == 0.0).any():
+        end -= q[end] == 0.0
+    upto[end] = 2.0
+    # the only edge above a half is left out of its node's sum; for the others 1 - q is exact enough
+    most = q > 0.5
+    others = np.add.reduceat(np.where(most, 0.0, q), heads)
+    with np.errstate(divide="ignore"):
+        log_rest = np.where(most, np.repeat(np.log(others), sizes), np.log1p(-np.minimum(q, 0.5)))
+    for i in np.flatnonzero((others == 0.0) & (sizes > 1)).tolist():  # all others are too small for a sum of q
+        e = np.arange(heads[i], heads[i] + sizes[i])
+        log_rest[e[most[e]]] = log_sums(np.where(most[e], -np.inf, logq[e]), np.zeros(1, np.int64))[0]
+    return Lattice(first, last, byte, dst, piece, upto, logq, log_rest)
+
+
+def log_sums(value: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of exponentials of each run of values; heads: where runs start."""
+    top = np.maximum.reduceat(value, heads)
+    safe = np.where(np.isfinite(top), top, 0.0)
+    total = np.add.reduceat(np.exp(value - np.repeat(safe, np.diff(np.append(heads, len(value))))), heads)
+    with np.errstate(divide="ignore"):
+        return safe + np.log(total)
 
 
 def unit_of_nodes(cuts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(cuts) - 1), np.diff(cuts) + 1)
 
 
-@dataclass
-class Path:
-    """Steps of all rows of a slice, row after row."""
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] numbers, then from starts[1] on."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+#: Nodes of the units that are kept from slice to slice: about 90 bytes each with their edges.
+KEPT = 1 << 21
 
-    bounds: np.ndarray
-    node: np.ndarray
-    edge: np.ndarray
-    unit: np.ndarray  # instance of the unit
 
+class Units:
+    """The lattice of all units that a slice has; those of the first slices, up to `kept` nodes, stay for the next ones."""
 
-def _uniform(keys: np.ndarray, place: np.ndarray, stream: int, rows: np.ndarray | None = None) -> np.ndarray:
-    """Uniform numbers of places in texts; rows: which of the keys each place has."""
+    def __init__(self, model: Pieces, kept: int = KEPT):
+        self.model, self.kept = model, kept
+        nothing = lattice(np.zeros(0, np.uint8), np.zeros(1, np.int64), model)
+        self.table = {name: getattr(nothing, name) for name in Lattice.__annotations__}
+        self.nodes = self.edges = 0
+        self.values, self.origins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _put(self, name: str, at: int, rows: np.ndarray) -> None:
+        old = self.table[name]
+        if at + len(rows) > len(old):
+            bigger = np.empty(max(at + len(rows), min(2 * len(old), len(old) + (1 << 22))), rows.dtype)
+            bigger[:at] = old[:at]
+            self.table[name] = old = bigger
+        old[at : at + len(rows)] = rows
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, nodes: int, edges: int) -> tuple[np.ndarray, int, int]:
+        """Adds units after so many nodes and edges: their first nodes, and nodes and edges then."""
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        new = lattice(data[spans(starts, sizes)], cuts, self.model)
+        self._put("first", nodes, new.first + edges)
+        for name in ("last", "byte"):
+            self._put(name, nodes, getattr(new, name))
+        self._put("target", edges, new.target + nodes)
+        for name in ("pieces", "upto", "logq", "log_rest"):
+            self._put(name, edges, getattr(new, name))
+        return nodes + cuts[:-1] + np.arange(len(sizes)), nodes + len(new.last), edges + len(new.target)
+
+    def find(self, data: np.ndarray, found: B.Tokens) -> tuple[np.ndarray, Lattice]:
+        """The first node of each unit, and the lattice, which holds until the next call."""
+        value, sizes = B.hashes(data, found), found.ends - found.starts
+        coded = pa.array(value).dictionary_encode()
+        code, distinct = np.asarray(coded.indices), np.asarray(coded.dictionary)
+        where = np.zeros(len(distinct), np.int64)
+        where[code[::-1]] = np.arange(len(code))[::-1]
+        at = np.minimum(np.searchsorted(self.values, distinct), max(0, len(self.values) - 1))
+        known = self.values[at] == distinct if len(self.values) else np.zeros(len(distinct), bool)
+        first, size = np.zeros(len(distinct), np.int64), sizes[where]
+        first[known], size[known] = self.origins[at[known]], self.sizes[at[known]]
+        fresh = np.flatnonzero(~known)
+        first[fresh], nodes, edges = self._add(data, found.starts[where[fresh]], size[fresh], self.nodes, self.edges)
+        if nodes <= self.kept:
+            self.nodes, self.edges = nodes, edges
+            self.values = np.concatenate([self.values, distinct[fresh]])
+            order = np.argsort(self.values)
+            self.values = self.values[order]
+            self.origins, self.sizes = np.concatenate([self.origins, first[fresh]])[order], np.concatenate([self.sizes, size[fresh]])[order]
+        origin = first[code]
+        # units of one hash are compared byte by byte; what differs has a lattice of its own
+        differs = size[code] != sizes
+        same = data == self.table["byte"][np.minimum(spans(origin, sizes), nodes - 1)] if len(data) else np.zeros(0, bool)
+        if not same.all():
+            differs[np.unique(np.searchsorted(found.starts, np.flatnonzero(~same), "right") - 1)] = True
+        if differs.any():
+            origin[differs], nodes, edges = self._add(data, found.starts[differs], sizes[differs], nodes, edges)
+        return origin, Lattice(**self.table)
+
+
+def _seeds(keys: np.ndarray, *stream: int) -> np.ndarray:
+    """A seed of each key for what the numbers of the stream name."""
     with np.errstate(over="ignore"):
-        seeds = B.mix(keys + np.uint64(stream) * np.uint64(0x9E3779B97F4A7C15))
-        return B.unit(B.mix((seeds if rows is None else seeds[rows]) ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))))
+        for x in stream:
+            keys = B.mix(keys + np.uint64(x + 1) * np.uint64(0x9E3779B97F4A7C15))
+        return keys
+
+
+_PLACE, _TWIN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+#: What a stream of noise is for: first maxima, steps of a walk, the edge that a resumed path takes, what then is left.
+_TOP, _STEP, _EDGE, _LEFT = range(4)
 
 
 class Texts:
     """The units of a slice's texts and their lattice."""
 
-    def __init__(self, piece: B.Slice, model: Pieces, keys: np.ndarray):
+    def __init__(self, piece: B.Slice, model: Pieces, keys: np.ndarray, units: Units | None = None):
         counts = np.diff(piece.offsets)
         full = counts > 0
         # a space before every text that is not empty
@@ -235,135 +332,195 @@ class Texts:
         self.starts = places[:-1]
         found = B.Tokens(places[:-1], places[1:], np.searchsorted(places[:-1], self.offsets))
         self.bounds = found.bounds  # units of each row
-        value = B.hashes(data, found) if len(data) else np.zeros(0, np.uint64)
-        _, where, self.kind = np.unique(value, return_index=True, return_inverse=True)
-        sizes = (found.ends - found.starts)[where] if len(where) else np.zeros(0, np.int64)
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(cuts[-1]) + np.repeat(found.starts[where] - cuts[:-1], sizes)
-        self.lattice = lattice(data[at], cuts, model)
-        self.origin = cuts[:-1] + np.arange(len(sizes))  # first node of a distinct unit
+        self.origin, self.lattice = (units or Units(model)).find(data, found)  # first node of each unit
         self.row = np.repeat(np.arange(piece.rows), np.diff(self.bounds))
 
-    def place(self, unit: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Byte place in its text of a node of a unit instance."""
-        return self.starts[unit] - self.offsets[self.row[unit]] + node - self.origin[self.kind[unit]]
-
-    def walk(self, unit: np.ndarray, node: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Draws each given unit instance from a node to its end: counts, and nodes and edges in order."""
+    def walk(self, unit: np.ndarray, node: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Draws each given unit from a node to its end: counts, and nodes, edges and a hash of each step in order."""
         lat, steps, n = self.lattice, [], len(unit)
         count = np.zeros(n, np.int64)
         live = np.flatnonzero(~lat.last[node])
-        here = node[live]
-        rows = self.row[unit]
-        start = self.place(unit, node) - node
+        here, own = node[live], unit[live]
+        seed = _seeds(self.keys, _STEP, draw)[self.row[own]]
+        start = (self.starts[own] - self.offsets[self.row[own]] - self.origin[own]).view(np.uint64)
         while len(live):
-            u = _uniform(self.keys, start[live] + here, stream, rows[live])
+            with np.errstate(over="ignore"):
+                noise = B.mix(seed ^ ((start + here.view(np.uint64)) * _PLACE))  # by its place in the text
+            u = B.unit(noise)
             edge = lat.first[here]
-            total = lat.q[edge]
-            end = lat.first[here + 1] - 1
-            over = np.flatnonzero((u > total) & (edge < end))
+            over = np.flatnonzero(u > lat.upto[edge])
             while len(over):
                 edge[over] += 1
-                total[over] += lat.q[edge[over]]
-                over = over[(u[over] > total[over]) & (edge[over] < end[over])]
-            steps.append((live, here, edge))
+                over = over[u[over] > lat.upto[edge[over]]]
+            steps.append((live, here, edge, noise))
             count[live] += 1
             here = lat.target[edge]
-            go = ~lat.last[here]
-            live, here = live[go], here[go]
-        first = np.concatenate([[0], np.cumsum(count)])
-        nodes, edges = np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64)
-        for i, (live, here, edge) in enumerate(steps):
-            nodes[first[live] + i], edges[first[live] + i] = here, edge
-        return count, nodes, edges
-
-    def groups(self, path: Path, before: np.ndarray, bound: np.ndarray, stream: int) -> np.ndarray:
-        """Perturbed maxima of what leaves a path at each step; before: log-probability up to it; bound: of its row's value."""
-        q = self.lattice.q[path.edge]
-        rows = self.row[path.unit]
-        with np.errstate(divide="ignore"):
-            mass = before + np.log1p(-np.minimum(q, 1.0))
-            mass[q > 1 - 1e-12] = -np.inf
-            noise = -np.log(_uniform(self.keys, self.place(path.unit, path.node), stream, rows))
-            return mass - np.log(noise + np.exp(np.minimum(mass - bound[rows], 700)))
+            go = np.flatnonzero(~lat.last[here])
+            live, here, seed, start = live[go], here[go], seed[go], start[go]
+        first = np.cumsum(count) - count
+        total = int(count.sum())
+        nodes, edges, noises = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.uint64)
+        for i, (live, here, edge, noise) in enumerate(steps):
+            at = first[live] + i
+            nodes[at], edges[at], noises[at] = here, edge, noise
+        return count, nodes, edges, noises
+
+
+def truncated(mass: np.ndarray, noise: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Gumbel variables located at mass, given that they do not exceed bound; noise: uniform numbers."""
+    with np.errstate(divide="ignore"):
+        return mass - np.log(-np.log(noise) + np.exp(np.minimum(mass - bound, 700)))
 
 
-def sample(texts: Texts, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each row up to k (ids, log-probability, perturbed value, inclusion score)."""
+@dataclass
+class Draw:
+    """One sample of each row that has it: its own steps, after a head that it shares with an earlier draw."""
+
+    rows: np.ndarray  # whether a row has this sample
+    bounds: np.ndarray  # own steps of each row
+    node: np.ndarray
+    edge: np.ndarray
+    unit: np.ndarray
+    before: np.ndarray  # log-probability up to a step
+    groups: np.ndarray  # the perturbed maximum of what leaves the path at a step and is not drawn yet
+    best: np.ndarray  # of a row: the largest of these
+    log_prob: np.ndarray
+    value: np.ndarray
+    ids: np.ndarray  # of whole samples
+    id_bounds: np.ndarray
+    head: np.ndarray  # of a row: pieces before its own steps
+    inclusion: np.ndarray | None = None
+
+
+def draw(texts: Texts, k: int) -> list[Draw]:
+    """Up to k samples of each row, by falling perturbed value."""
     lat, rows = texts.lattice, len(texts.offsets) - 1
-    with np.errstate(divide="ignore"):
-        value = -np.log(-np.log(_uniform(texts.keys, np.zeros(rows), 1)))
-    every = np.arange(len(texts.kind))
-    drawn: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in range(rows)]
-    # what is left of each row's tree: for each path its arrays of group values and the steps they belong to
-    left: list[list[dict]] = [[] for _ in range(rows)]
-    unit, node = every, texts.origin[texts.kind] if len(every) else every
-    prefix: list[tuple[np.ndarray, float]] = [(np.zeros(0, np.int64), 0.0)] * rows
-    active = np.ones(rows, bool)
+    value = -np.log(-np.log(B.unit(_seeds(texts.keys, _TOP))))
+    unit = np.arange(len(texts.origin))
+    node = texts.origin
+    offset, active = np.zeros(rows), np.ones(rows, bool)
+    draws: list[Draw] = []
+    gone: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of a row: draw, step and edge that were resumed
+    resumed = None
     for j in range(k):
-        count, nodes, edges = texts.walk(unit, node, 100 + 2 * j)
+        count, nodes, edges, noise = texts.walk(unit, node, j)
         owner = np.repeat(unit, count)
         row_of = texts.row[owner]
         bounds = np.searchsorted(row_of, np.arange(rows + 1))
-        with np.errstate(divide="ignore"):
-            logs = np.log(lat.q[edges])
-        run = np.cumsum(logs)
-        start = np.concatenate([[0.0], run])[bounds[:-1]]
-        offset = np.array([p[1] for p in prefix])
-        before = run - logs - start[row_of] + offset[row_of]
-        path = Path(bounds, nodes, edges, owner)
-        groups = texts.groups(path, before, value, 101 + 2 * j)
-        total = np.concatenate([[0.0], run])[bounds[1:]] - start + offset
-        nonempty = np.diff(bounds) > 0
+        logs = lat.logq[edges]
+        run = np.empty(len(logs))
+        cuts = bounds.tolist()
+        filled = np.flatnonzero(np.diff(bounds))
+        for r in filled.tolist():  # row by row, so that sums do not depend on the slice
+            np.cumsum(logs[cuts[r] : cuts[r + 1]], out=run[cuts[r] : cuts[r + 1]])
+        run += offset[row_of]
+        before = run - logs
+        total = offset.copy()
+        total[filled] = run[bounds[filled + 1] - 1]
+        groups = truncated(before + lat.log_rest[edges], B.unit(B.mix(noise ^ _TWIN)), value[row_of])
         best = np.full(rows, -np.inf)
-        best[nonempty] = np.maximum.reduceat(groups, bounds[:-1][nonempty]) if nonempty.any() else best[nonempty]
-        ids = lat.pieces[edges]
-        next_unit, next_node = [], []
-        for r in range(rows):
-            if not active[r]:
-                continue
-            a, b = bounds[r], bounds[r + 1]
-            drawn[r].append((np.concatenate([prefix[r][0], ids[a:b]]), float(total[r]), float(value[r])))
-            left[r].append({"best": float(best[r]), "groups": groups[a:b], "nodes": nodes[a:b], "edges": edges[a:b], "units": owner[a:b], "before": before[a:b], "ids": ids[a:b], "head": prefix[r][0], "gone": {}})
-            top = max(left[r], key=lambda g: g["best"])
-            if j + 1 == k or top["best"] == -np.inf:
-                active[r] = False
-                continue
-            at = int(np.argmax(top["groups"]))
-            found, here, u = float(top["groups"][at]), int(top["nodes"][at]), int(top["units"][at])
-            gone = top["gone"].setdefault(at, [int(top["edges"][at])])
-            rest = [e for e in range(lat.first[here], lat.first[here + 1]) if e not in gone and lat.q[e] > 0]
-            draws = _uniform(texts.keys[r : r + 1].repeat(2), np.array([at, at]), 1000 + 10 * j + 5 * len(gone))
-            aim, edge = float(draws[0]) * float(lat.q[rest].sum()), rest[-1]
-            for e in rest:
-                aim -= float(lat.q[e])
-                if aim <= 0:
-                    edge = e
-                    break
-            gone.append(edge)
-            remain = float(lat.q[[e for e in rest if e != edge]].sum())
-            log_before = float(top["before"][at])
-            if remain > 1e-12:
-                mass = log_before + math.log(remain)
-                noise = -math.log(float(_uniform(texts.keys[r : r + 1], np.array([at]), 2000 + 10 * j + 5 * len(gone))[0]))
-                top["groups"] = top["groups"].copy()
-                top["groups"][at] = mass - math.log(noise + math.exp(min(700.0, mass - found)))
-            else:
-                top["groups"] = top["groups"].copy()
-                top["groups"][at] = -np.inf
-            top["best"] = float(top["groups"].max())
-            prefix[r] = (np.concatenate([top["head"], top["ids"][:at], lat.pieces[edge : edge + 1]]), log_before + math.log(float(lat.q[edge])))
-            value[r] = found
-            later = np.arange(u + 1, texts.bounds[r + 1])
-            next_unit.append(np.concatenate([[u], later]))
-            next_node.append(np.concatenate([[lat.target[edge]], texts.origin[texts.kind[later]]]))
-        if not next_unit:
+        if len(filled):
+            best[filled] = np.maximum.reduceat(groups, bounds[filled])
+        own = lat.pieces[edges]
+        head = np.zeros(rows, np.int64)
+        if resumed is None:
+            ids, id_bounds = own, bounds
+        else:
+            then, top, step, edge = resumed
+            shared = np.zeros(rows, np.int64)
+            for p in np.unique(top):
+                mine = then[top == p]
+                shared[mine] = draws[p].head[mine] + step[top == p] - draws[p].bounds[mine]
+            head[then] = shared[then] + 1
+            sizes = head + np.diff(bounds)
+            id_bounds = np.concatenate([[0], np.cumsum(sizes)])
+            ids = np.empty(id_bounds[-1], own.dtype)
+            for p in np.unique(top):
+                mine = then[top == p]
+                ids[spans(id_bounds[mine], shared[mine])] = draws[p].ids[spans(draws[p].id_bounds[mine], shared[mine])]
+            ids[id_bounds[then] + shared[then]] = lat.pieces[edge]
+            ids[spans(id_bounds[:-1] + head, np.diff(bounds))] = own
+        draws.append(Draw(active.copy(), bounds, nodes, edges, owner, before, groups, best, total, value.copy(), ids, id_bounds, head))
+        if j + 1 == k:
             break
-        unit, node = np.concatenate(next_unit).astype(np.int64), np.concatenate(next_node).astype(np.int64)
-    out = []
-    for r in range(rows):
-        limit = max((g["best"] for g in left[r]), default=-np.inf)
-        out.append([(ids, p, v, 1.0 if limit == -np.inf else -math.expm1(-math.exp(min(700.0, p - limit)))) for ids, p, v in drawn[r]])
+        table = np.stack([d.best for d in draws])
+        found = table.max(axis=0)
+        active = active & (found > -np.inf)
+        then = np.flatnonzero(active)
+        if not len(then):
+            break
+        # the group of the largest value in each row
+        top, found = table.argmax(axis=0)[then], found[then]
+        step, here, place, taken = np.zeros((4, len(then)), np.int64)
+        log_before = np.zeros(len(then))
+        for p in np.unique(top):
+            d, mine = draws[p], np.flatnonzero(top == p)
+            its_row = np.repeat(np.arange(rows), np.diff(d.bounds))
+            hit = np.flatnonzero(d.groups == d.best[its_row])
+            step[mine] = at = hit[np.searchsorted(its_row[hit], then[mine])]
+            here[mine], place[mine], taken[mine], log_before[mine] = d.node[at], d.unit[at], d.edge[at], d.before[at]
+        # one of the edges that have not left there yet, by their probabilities
+        sizes = lat.first[here + 1] - lat.first[here]
+        heads = np.cumsum(sizes) - sizes
+        edge_of, which = spans(lat.first[here], sizes), np.repeat(np.arange(len(then)), sizes)
+        free = edge_of != taken[which]
+        for old_top, old_step, old_edge in gone:
+            free &= ~((old_top[then] == top) & (old_step[then] == step))[which] | (edge_of != old_edge[then][which])
+        log_free = np.where(free, lat.logq[edge_of], -np.inf)
+        share = np.exp(log_free - np.repeat(log_sums(log_free, heads), sizes))
+        upto = share.copy()
+        for i in range(1, int(sizes.max())):
+            more = heads[sizes > i] + i
+            upto[more] += upto[more - 1]
+        upto[np.maximum.reduceat(np.where(log_free > -np.inf, np.arange(len(upto)), -1), heads)] = 2.0
+        keys = texts.keys[then]
+        slot = np.minimum.reduceat(np.where(B.unit(_seeds(keys, _EDGE, j))[which] <= upto, np.arange(len(upto)), len(upto)), heads)
+        edge = edge_of[slot]
+        log_free[slot] = -np.inf
+        left = truncated(log_before + log_sums(log_free, heads), B.unit(_seeds(keys, _LEFT, j)), found)
+        for p in np.unique(top):
+            d, mine = draws[p], top == p
+            d.groups[step[mine]] = left[mine]
+            filled = np.flatnonzero(np.diff(d.bounds))
+            d.best[filled] = np.maximum.reduceat(d.groups, d.bounds[filled])
+        record = np.full((3, rows), -1)
+        record[:, then] = top, step, edge
+        gone.append(tuple(record))
+        offset = np.zeros(rows)
+        offset[then] = log_before + lat.logq[edge]
+        value[then] = found
+        units = texts.bounds[then + 1] - place
+        unit = spans(place, units)
+        node = texts.origin[unit]
+        node[np.cumsum(units) - units] = lat.target[edge]
+        resumed = then, top, step, edge
+    limit = np.max([d.best for d in draws], axis=0)
+    for d in draws:
+        with np.errstate(over="ignore", invalid="ignore"):
+            d.inclusion = np.where(limit == -np.inf, 1.0, -np.expm1(-np.exp(np.minimum(700.0, d.log_prob - limit))))
+    return draws
+
+
+def sample(texts: Texts, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each row up to k (ids, log-probability, perturbed value, inclusion score)."""
+    out: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in range(len(texts.offsets) - 1)]
+    for d in draw(texts, k):
+        for r in np.flatnonzero(d.rows).tolist():
+            out[r].append((d.ids[d.id_bounds[r] : d.id_bounds[r + 1]], float(d.log_prob[r]), float(d.value[r]), float(d.inclusion[r])))
+    return out
+
+
+def exact_rows(texts: Texts, d: Draw) -> np.ndarray:
+    """Whether each row's sample decodes to its text; true for rows without this sample."""
+    model = texts.model
+    size = np.concatenate([[0], np.cumsum(model.cuts[d.ids + 1] - model.cuts[d.ids])])[d.id_bounds]
+    said, out = model.decode(d.ids), ~d.rows | (np.diff(size) == np.diff(texts.offsets))
+    if out.all() and d.rows.all():
+        if not np.array_equal(said, texts.data):
+            out[np.searchsorted(texts.offsets, np.flatnonzero(said != texts.data), "right") - 1] = False
+        return out
+    for r in np.flatnonzero(d.rows & out).tolist():
+        out[r] = np.array_equal(said[size[r] : size[r + 1]], texts.data[texts.offsets[r] : texts.offsets[r + 1]])
     return out
 
 
@@ -381,35 +538,48 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     model = Pieces.load(model_path, alpha)
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    units = Units(model)  # each task's own
+
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         keys = row_seeds(batch.column(0), seed)
         for piece in B.slices(batch.column(1), SLICE):  # a result for each slice: a batch's ids are never all held
-            texts = Texts(piece, model, keys[piece.first : piece.first + piece.rows])
-            drawn = sample(texts, k)
-            own = [texts.data[a:b] for a, b in zip(texts.offsets, texts.offsets[1:])]
-            exact = [all(np.array_equal(model.decode(s[0]), o) for s in samples) for samples, o in zip(drawn, own)]
-            flat = [s for samples in drawn for s in samples]
-            ends = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s[0] for s in flat]).astype(np.int32)))
-            numbers = [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
-            structs = pa.StructArray.from_arrays([lists, *numbers], ["ids", "log_prob", "value", "inclusion"])
-            counts = np.concatenate([[0], np.cumsum([len(x) for x in drawn])]).astype(np.int32)
-            yield {"doc_id": batch.column(0).slice(piece.first, piece.rows), "samples": pa.ListArray.from_arrays(pa.array(counts), structs), "exact": exact}
+            texts = Texts(piece, model, keys[piece.first : piece.first + piece.rows], units)
+            draws = draw(texts, k)
+            counts = np.concatenate([[0], np.cumsum(np.sum([d.rows for d in draws], axis=0))])
+            sizes, numbers = np.zeros(counts[-1], np.int64), np.zeros((3, counts[-1]))
+            for j, d in enumerate(draws):  # the samples of a row stand together
+                at = counts[:-1][d.rows] + j
+                sizes[at] = np.diff(d.id_bounds)[d.rows]
+                numbers[:, at] = d.log_prob[d.rows], d.value[d.rows], d.inclusion[d.rows]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            ids = np.zeros(ends[-1], np.int32)
+            for j, d in enumerate(draws):
+                at = counts[:-1][d.rows] + j
+                ids[spans(ends[at], sizes[at])] = d.ids
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            structs = pa.StructArray.from_arrays([lists, *map(pa.array, numbers)], ["ids", "log_prob", "value", "inclusion"])
+            samples = pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), structs)
+            yield {"doc_id": batch.column(0).slice(piece.first, piece.rows), "samples": samples, "exact": pa.array(np.all([exact_rows(texts, d) for d in draws], axis=0))}
 
     return map_batches(source, run, "doc_id long, samples array<struct<ids: array<int>, log_prob: double, value: double, inclusion: double>>, exact boolean")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:
-    """df's id column first, then text: what the piece ids of each row say. Null ids give a null text.
+    """df's id column first, then text: what the piece ids of each row say.
 
-    df: an id column and ids_col, an array of ids.
+    df: an id column and ids_col, an array of ids. A null array, a null in it and an id that the model
+    does not have give a null text; bytes that are no UTF-8 give U+FFFD.
     """
     model = Pieces.load(model_path)
     key = next(c for c in df.columns if c != ids_col)
 
+    def said(ids: list | None) -> str | None:
+        if ids is None or any(x is None or not 0 <= x < len(model.weight) for x in ids):
+            return None
+        return model.decode(np.asarray(ids, np.int64)).tobytes()[1 if ids else 0 :].decode("utf-8", "replace")
+
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [None if x is None else model.decode(np.asarray(x, np.int64)).tobytes()[1 if x else 0 :].decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-        return {key: batch.column(0), "text": pa.array(texts, pa.string())}
+        return {key: batch.column(0), "text": pa.array(map(said, batch.column(1).to_pylist()), pa.string())}
 
     return map_batches(df.select(key, ids_col), run, f"`{key}` {df.schema[key].dataType.simpleString()}, text string")
 

@@ -470,6 +470,62 @@ def test_pieces(spark, docs, empty):
     assert pieces.encode(empty).count() == 0 and pieces.digest(pieces.encode(docs)).count() == len(TEXTS) + 2
 
 
+def test_decoding_ids_that_do_not_exist(spark):
+    rows = [(1, None), (2, []), (3, [32_000_000]), (4, [-1]), (5, [None, 300]), (6, [3 + 0xC3])]
+    got = {r.doc_id: r.text for r in pieces.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    assert got == {1: None, 2: "", 3: None, 4: None, 5: None, 6: ""}
+
+
+def test_samples_do_not_depend_on_the_slice():
+    """The same rows in slices of their own, with and without kept units, and where all units share one hash."""
+    model, texts = pieces.Pieces.load(), [t or "" for t in TEXTS if t != LONG] * 2
+    keys = pieces.row_seeds(pa.array([*range(len(texts) // 2)] * 2), 5)
+    flat = lambda drawn: [[(s[0].tolist(), *s[1:]) for s in row] for row in drawn]
+    whole = next(B.slices(pa.array(texts), 1 << 30))
+    want = flat(pieces.sample(pieces.Texts(whole, model, keys), 6))
+    for kept in (0, 2000, 1 << 20):
+        units = pieces.Units(model, kept)
+        for piece in B.slices(pa.array(texts), 100):
+            got = flat(pieces.sample(pieces.Texts(piece, model, keys[piece.first : piece.first + piece.rows], units), 6))
+            assert got == want[piece.first : piece.first + piece.rows]
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    model, texts = pieces.Pieces.load(), ["some words of one hash", "other words, longer ones", "", "x"]
+    keys = pieces.row_seeds(pa.array(range(4)), 5)
+    whole = next(B.slices(pa.array(texts)))
+    want = [[s[0].tolist() for s in row] for row in pieces.sample(pieces.Texts(whole, model, keys), 3)]
+    monkeypatch.setattr(B, "hashes", lambda data, found: np.full(len(found.starts), 7, np.uint64))
+    units = pieces.Units(model)
+    for _ in range(2):
+        got = pieces.Texts(whole, model, keys, units)
+        assert [[s[0].tolist() for s in row] for row in pieces.sample(got, 3)] == want
+        assert all(pieces.exact_rows(got, d).all() for d in pieces.draw(got, 3))
+
+
+def test_third_and_fourth_samples_follow_the_lattice():
+    """Later draws, too, are as likely as draws without replacement are."""
+    model, n = pieces.Pieces.load(), 4000
+    keys = pieces.row_seeds(pa.array(range(n)), 9)
+    every = pieces.sample(pieces.Texts(next(B.slices(pa.array(["thin"]))), model, keys[:1]), 100)[0]
+    p = {tuple(s[0].tolist()): math.exp(s[1]) for s in every}
+    assert math.isclose(sum(p.values()), 1.0, rel_tol=1e-9)
+    seen = collections.Counter()
+    for piece in B.slices(pa.array(["thin"] * n)):
+        for row in pieces.sample(pieces.Texts(piece, model, keys[piece.first : piece.first + piece.rows]), 4):
+            seen[tuple(tuple(s[0].tolist()) for s in row[:4])] += 1
+    expected = {}
+    for a in p:
+        for b in p:
+            for c in p:
+                for d in p:
+                    if len({a, b, c, d}) == 4:
+                        expected[a, b, c, d] = p[a] * p[b] / (1 - p[a]) * p[c] / (1 - p[a] - p[b]) * p[d] / (1 - p[a] - p[b] - p[c])
+    assert set(seen) <= set(expected)
+    for way, q in expected.items():
+        assert abs(seen[way] / n - q) < 5 * math.sqrt(q / n) + 3 / n
+
+
 def test_samples_follow_the_lattice():
     model = pieces.Pieces.load()
     lookup = {model.text[model.cuts[i] : model.cuts[i + 1]].tobytes(): i for i in range(259, 32000)}
