@@ -74,7 +74,7 @@ cut AS (SELECT document_id, title, list_filter(list_transform(string_split(text,
 lines AS (SELECT document_id, title AS document_title, left(l[1], 80) AS heading, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS ordinal FROM cut),
 records AS (
   SELECT document_id, document_title, 'b-0' AS section_id, 'b-' || ordinal AS block_id, heading, CAST(ordinal // 10 + 1 AS INTEGER) AS page_number,
-    CASE WHEN ordinal = 0 THEN 'heading' ELSE 'paragraph' END AS block_type, CASE WHEN ordinal = 0 THEN heading ELSE line END AS text, ordinal
+    CASE WHEN ordinal = 0 THEN 'heading' ELSE 'paragraph' END AS block_type, line AS text, ordinal
   FROM lines)
 """
 _BLOCKS = rf"""{_BASE},
