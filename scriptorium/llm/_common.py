@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,12 +63,17 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder in the shared checkpoint folder; in tests, where none is set, in /tmp/checkpoints."""
+    """A new folder in the shared checkpoint folder; where none is set, in a folder of this machine, on a local master only."""
     context = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not top:
         set_dir = context._jsc.sc().getCheckpointDir()
-        top = set_dir.get() if set_dir.isDefined() else "file:///tmp/checkpoints"
+        if set_dir.isDefined():
+            top = set_dir.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            top = "file:///tmp/checkpoints"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -76,13 +82,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        if path := df.__dict__.pop("_written_at", None):
+            drop_dir(df.sparkSession, path)
 
 
 #: Where a row of a file scan lies.
 PLACE = ("__file", "__place")
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df with other names for its own columns that are called as PLACE is, and how to select its columns as they were."""
+    own = {c: f"__own_{c}" for c in df.columns if c.lower() in PLACE}
+    return df.withColumnsRenamed(own), [F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def placed_rows(df: DataFrame) -> DataFrame:
     """df with PLACE: a file scan as it is, anything else staged in the shared folder first."""
     where = [F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1])]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import _bytes as B
-from scriptorium.llm._common import PLACE, map_batches, placed_rows, shared_dir, written
+from scriptorium.llm._common import PLACE, map_batches, placed_rows, shared_dir, shielded, written
 
 #: State on disk; stores take the disk that their rows need, and commits write what has changed.
 STATE = {
@@ -32,9 +32,10 @@ STATE = {
 }
 
 
-def located(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, file, place of rows that may have their place already."""
-    rows = df if PLACE[0] in df.columns else placed_rows(df.select(id_col, text_col))
+def located(df: DataFrame, id_col: str, text_col: str, placed: bool) -> DataFrame:
+    """doc_id, text, file, place of rows; placed: they have their PLACE already."""
+    rows = df if placed else placed_rows(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    id_col, text_col = (id_col, text_col) if placed else ("doc_id", "text")
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(PLACE[0]).alias("file"), F.col(PLACE[1]).alias("place"))
 
 
@@ -83,13 +84,14 @@ def _compared(batch: pa.RecordBatch) -> dict:
     return {k: batch.column(k) for k in ("digest", "doc_id", "file", "place")} | {"same": same, "bytes": [None if s else a for s, a in zip(same, mine)]}
 
 
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256) -> DataFrame:
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, placed: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, file, place: one row for each row of df.
 
-    digest_bits: how much of the SHA-256 keys the state; fewer only to test the byte check.
+    digest_bits: how much of the SHA-256 keys the state; fewer only to test the byte check. placed: df
+    has PLACE, as placed_rows gives it.
     """
     spark = df.sparkSession
-    docs = located(df, id_col, text_col)
+    docs = located(df, id_col, text_col, placed)
     arrivals = f"{shared_dir(spark, 'arrivals')}"
     form = "doc_id long, file string, place long, sha string, digest string"
     map_batches(docs, lambda x: _digests(x, digest_bits), form).write.parquet(arrivals)
@@ -119,6 +121,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def deduplicated(df: DataFrame, **how) -> DataFrame:
     """df's rows that stay."""
-    rows = placed_rows(df)
-    gone = exact_duplicates(rows, **how).where("not kept").select(F.col("file").alias(PLACE[0]), F.col("place").alias(PLACE[1]))
-    return rows.join(gone, list(PLACE), "left_anti").select(*df.columns)
+    mine, back = shielded(df)
+    rows = placed_rows(mine)
+    gone = exact_duplicates(rows, placed=True, **how).where("not kept").select(F.col("file").alias(PLACE[0]), F.col("place").alias(PLACE[1]))
+    return rows.join(gone, list(PLACE), "left_anti").select(*back)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import _bytes as B
-from scriptorium.llm._common import PLACE, map_batches, placed_rows, small, written
+from scriptorium.llm._common import PLACE, map_batches, placed_rows, shielded, small, written
 
 #: Newton stops when no source's words differ from its target by more than this part.
 EXACT = 1e-12
@@ -119,6 +119,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 def mixed(df: DataFrame, **how) -> DataFrame:
     """df's rows, each as often as the mix takes it."""
-    rows = placed_rows(df)
-    copies = mix(rows, keep=PLACE, **how).where("copies > 0").select(*PLACE, "copies")
-    return rows.join(copies, list(PLACE)).select(*df.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    mine, back = shielded(df)
+    rows = placed_rows(mine)
+    copies = mix(rows, keep=PLACE, **how).where("copies > 0").select(*PLACE, F.array_repeat(F.lit(1), F.col("copies").cast("int")).alias("__again"))
+    return rows.join(copies, list(PLACE)).select(*back, F.explode("__again").alias("__copy")).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import _bytes as B
 from scriptorium.llm import exactdup, htmltext, imatch, licenses, mixing, neardup, pieces, quality, secrets, toxicity
@@ -283,7 +284,8 @@ def pair_components(rows, width, percent, in_bucket=False):
     """Components over all pairs, or over those that share a bucket, by the plain counts of shared shingles."""
     sets, keys = [], []
     for s in B.slices(pa.array([t for _, t in rows])):
-        values, bounds = neardup.shingles(s, width)
+        found = neardup.grams(s, width)
+        values, bounds = neardup.distinct(found.value, found.bounds)
         sets += [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         keys += [set(k) for k in neardup.band_keys(neardup.one_permutation(values, bounds)).tolist()]
     columns = {v: k for k, v in enumerate(sorted({int(v) for x in sets for v in x}))}
@@ -320,6 +322,56 @@ def test_a_large_family_with_few_links(spark, monkeypatch):
     assert all(got[i] == got[r] for i, r in want.items()) and all(every[i] == every[r] for i, r in got.items())
 
 
+def thue_morse(n):
+    """The sequence and its swap: all polynomial hashes modulo 2**64 of the two agree from n = 1024 on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hash_collisions_make_no_links_and_no_classes(spark, monkeypatch):
+    x, y = thue_morse(1024)
+    assert B.hash_text(x) == B.hash_text(y)
+    rows = [(1, f"{x} b c d"), (2, f"{y} b c d"), (3, f"{x} b c d {y} b c d"), (4, f"{x}  B c D")]
+    want = brute_near(rows, 4, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert want[1][1] == 1 and want[2][1] == 2 and want[3][0] == 5 and want[4][1] == 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, width=4).collect()} == want
+    # with blocks alone, without stars' help
+    out = neardup.near_duplicates(df, width=4, stars=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+
+
+def test_hubs_split_over_tasks(spark, monkeypatch):
+    """Tasks of a few shingles each: large hubs are dealt out, small ones share, and the links are the same."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 8)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 600)
+    rows = family(120, (0, 3)) + [(1000 + i, f"a{i // 2} b{i // 2} c d e f g h i j k l m n o p q{i % 2}") for i in range(40)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert got == {i: c for i, (_, c) in brute_near(rows, 4, 80).items()}
+
+
+def test_codes_of_long_shingles():
+    """More words than a number holds are numbered anew on the way."""
+    text = [" ".join(f"w{k}" for k in range(3000)) for _ in range(2)] + ["w1 w2", "w1 w2 w3"]
+    for piece in B.slices(pa.array(text)):
+        found = neardup.grams(piece, 12)
+        words = [t.split() for t in text]
+        said = [tuple(w[i : i + 12]) for w in words for i in range(max(1, len(w) - 11))]
+        assert len(set(found.code.tolist())) == len(set(said)) and found.bounds[-1] == len(said)
+        assert len({(c, s) for c, s in zip(found.code.tolist(), said)}) == len(set(said))
+
+
+def test_columns_called_as_places_are(spark):
+    rows = [(1, "a text of some words", "f", "q"), (2, "A text of some words", "g", "q"), (3, "other words", "h", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __file string, __PLACE string").withColumn("source", F.lit("s"))
+    for kept, ids in ((exactdup.deduplicated(df), {2, 3}), (neardup.deduplicated(df, width=3), {1, 3})):
+        assert kept.columns == df.columns
+        assert {tuple(r)[:4] for r in kept.collect()} == {r for r in rows if r[0] in ids}
+    assert {r.doc_id for r in exactdup.exact_duplicates(df).where("kept").collect()} == {2, 3}
+    taken = mixing.mixed(df)
+    assert taken.columns == df.columns and {tuple(r)[:4] for r in taken.collect()} <= set(rows)
+
+
 def test_common_values_of_all_sets():
     rng = np.random.Generator(np.random.PCG64(2))
     sides = []
