@@ -443,7 +443,7 @@ def test_main_text(spark):
 def test_raw_elements_end_where_the_page_says():
     """U+0130 lower-cases to two code points; places must be those of the page itself."""
     page = "<article><p>" + "\u0130" * 40 + " before<SCRIPT>var a = 1</Script> the words after the script stay whole</p></article>"
-    assert htmltext.extract(page, htmltext.WORD, htmltext.TAG) == "\u0130" * 40 + " before the words after the script stay whole"
+    assert htmltext.extract(page) == "\u0130" * 40 + " before the words after the script stay whole"
 
 
 def test_articles_by_role_and_without_marks():
@@ -452,10 +452,12 @@ def test_articles_by_role_and_without_marks():
     frame = "<body><nav><a href='/'>to the start</a></nav>{}<footer>the end</footer>"
     text = "bare words stand here without any paragraph at all " + " ".join(f"point {k} of a list with some words" for k in range(6)) + " a paragraph of some length follows the list"
     by_role = frame.format(f"<div role=main>{inner}</div>")
-    assert {t[2] for t in htmltext.tokenise(by_role) if t[0] == 1 and t[3] and t[1].strip()} == {"home"}
+    page = htmltext.parse(by_role)
+    boiler, home = htmltext.judged(page, {})
+    assert all(home[t[2]] for t in page.parts if t[0] == 1 and t[3] and not boiler[t[2]])
     for marked in (frame.format(f"<article>{inner}</article>"), by_role):
-        word, tag = htmltext.learn([marked] * 20)
-        assert htmltext.extract(by_role, word, tag) == htmltext.extract(frame.format(f"<div>{inner}</div>"), word, tag) == text
+        weights = htmltext.learn([marked] * 20)
+        assert htmltext.extract(by_role, weights) == htmltext.extract(frame.format(f"<div>{inner}</div>"), weights) == text
 
 
 def test_best_region_against_all_regions():
@@ -463,14 +465,87 @@ def test_best_region_against_all_regions():
     for _ in range(50):
         parts = [f"<i>{'w ' * int(rng.integers(0, 4))}</i>" if rng.random() < 0.5 else "<hr>" * int(rng.integers(0, 4)) + "v " * int(rng.integers(0, 5)) for _ in range(6)]
         page = "".join(parts)
-        word, tag = {"": 1.0, "p": 1.0, "home": 1.0, "link": 1.0}, {"": -0.7, "hr": -1.3}
-        seen = htmltext.tokenise(page)
-        score = [tag.get(t[1], tag[""]) if t[0] == 0 else len(t[1].split()) for t in seen]
-        best = max((sum(score[a:b]) for a in range(len(seen)) for b in range(a, len(seen) + 1)), default=0)
-        text = htmltext.extract(page, word, tag)
-        ranges = [(a, b) for a in range(len(seen)) for b in range(a, len(seen) + 1) if abs(sum(score[a:b]) - best) < 1e-9]
-        join = lambda a, b: " ".join("".join(t[1] if t[0] else " " if t[2] else "" for t in seen[a:b]).split())
-        assert not seen or text in {join(a, b) for a, b in ranges}
+        weights = htmltext.Weights({"": 1.0, "p": 1.0, "home": 1.0, "link": 1.0}, {"": -0.7, "hr": -1.3})
+        seen = htmltext.parse(page)
+        score, _ = htmltext.scored(seen, weights)
+        assert score == [weights.tag.get(t[1], -0.7) if t[0] == 0 else len(t[1].split()) for t in seen.parts]
+        best = max((sum(score[a:b]) for a in range(len(score)) for b in range(a, len(score) + 1)), default=0)
+        text = htmltext.extract(page, weights)
+        ranges = [(a, b) for a in range(len(score)) for b in range(a, len(score) + 1) if abs(sum(score[a:b]) - best) < 1e-9]
+        join = lambda a, b: " ".join("".join(t[1] if t[0] else " " if t[3] else "" for t in seen.parts[a:b]).split())
+        assert not score or text in {join(a, b) for a, b in ranges}
+
+
+def _words(k, n):
+    return " ".join(f"{w}{k}" for w in ("rain", "falls", "over", "quiet", "hills", "before", "the", "morning", "light", "returns") * -(-n // 10))
+
+
+MARKED = [f"<body class='page'><nav><a href='/'>home</a> <a href='/x'>more</a></nav><div class='promo-x'>{_words('z', 10)}</div><article class='entry'><h1>Title {k}</h1><p>{_words(k, 40)}</p></article><footer>the end</footer></body>" for k in range(20)]
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "ad-free", "post comments-open", "share-price", "story search-story", "social-history", "media-social", "entry"])
+@pytest.mark.parametrize("learned", [False, True])
+def test_names_that_only_sound_like_boilerplate(name, learned):
+    weights = htmltext.learn(MARKED) if learned else htmltext.Weights()
+    body = f"<p>{_words('a', 30)}</p><p>{_words('b', 30)}</p>"
+    want = f"{_words('a', 30)} {_words('b', 30)}"
+    frame = "<body><nav><a href='/'>home</a> <a href='/y'>there</a></nav>{}<footer>the end</footer></body>"
+    for page in (f'<div class="{name}">{body}</div>', f'<main class="site-main"><div class="entry {name}">{body}</div></main>', f'<article><div class="{name}" id="search">{body}</div></article>'):
+        assert htmltext.extract(frame.format(page), weights) == want
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_marked_articles_come_whole(learned):
+    weights = htmltext.learn(MARKED) if learned else htmltext.Weights()
+    page = '<article><p>Rate is <math><mi>x</mi></math>.</p><figure class="media-social">a picture</figure><h2 id="search">Search methods</h2><p>Text after.</p></article>'
+    assert htmltext.extract(page, weights) == "Rate is x . a picture Search methods Text after." or htmltext.extract(page, weights) == "Rate is x. a picture Search methods Text after."
+    form = "<form>" + "<div><span></span></div>" * 200 + "<input> your address</form>"
+    long = f"<nav>menu</nav><article><p>{_words('a', 20)}</p>{form}<p>{_words('b', 20)}</p></article><p>not this</p>"
+    assert htmltext.extract(long, weights) == f"{_words('a', 20)} {_words('b', 20)}"
+    assert htmltext.extract(f"<form id=page><main><p>{_words('a', 20)}</p></main></form>", weights) == _words("a", 20)
+    assert htmltext.extract(f"<form id=page><div><p>{_words('a', 20)}</p></div></form><nav>menu</nav>", weights) == _words("a", 20)
+
+
+@pytest.mark.parametrize("box", [
+    '<div class="sidebar-left">{}</div>', '<div class="widget">{}</div>', '<section id="comments"><article class="comment">{}</article></section>', '<ol class="comment-list"><li>{}</li></ol>',
+    '<div class="ad">{}</div>', '<div class="ad-slot-3">{}</div>', "<aside>{}</aside>", '<div class="cookie-notice">{}</div>', '<div role="complementary">{}</div>', '<div style="display: none">{}</div>',
+    "<form>{}</form>", "<nav><p>{}</p></nav>", '<div class="post-share social_links">{}</div>', "<footer>{}</footer>", '<div class="related-posts"><article>{}</article></div>', "<textarea>{}</textarea>", "<!-- {} -->",
+])
+def test_boilerplate_goes(box):
+    for frame in ("<article><h1>Head line</h1>{}<p>{}</p></article>", "<div>{1}</div><article><h1>Head line</h1>{0}<p>{2}</p></article>"):
+        inside = frame.format("", _words("a", 30), _words("a", 30)) if frame.count("{") == 2 else None
+        page = frame.format(box.format("these words are not of it"), _words("a", 30)) if frame.count("{") == 2 else frame.format("", box.format("these words are not of it"), _words("a", 30))
+        assert "not of it" not in htmltext.extract(page) and _words("a", 30) in htmltext.extract(page), (page, inside)
+
+
+def test_classes_are_learned():
+    weights = htmltext.learn(MARKED)
+    assert weights.classes["promo-x"] is True and weights.classes["entry"] is False
+    page = f"<div class='promo-x'><p>{_words('q', 20)}</p></div><div class='x'><p>{_words('a', 40)}</p></div>"
+    assert htmltext.extract(page, weights) == _words("a", 40)
+
+
+def test_short_articles_with_many_comments():
+    said = "".join(f"<li><p>{_words(f'c{k}', 30)}</p></li>" for k in range(10))
+    for top in ("<div>{}</div>", "<article>{}</article>", "<main>{}</main>"):
+        assert htmltext.extract(top.format(f"<p>{_words('a', 30)}</p>") + f"<div id='comments'><ol>{said}</ol></div>") == _words("a", 30)
+
+
+def test_long_pages_take_linear_time():
+    """Unclosed, nested and crossed tags by the ten thousands; none may look through all that is open."""
+    import time
+
+    def took(n):
+        pages = ["<div>" * n + "words" + "</p>" * n, "<p>" + "<li><div>" * n + "x" + "</div></li>" * n, "<b><i>" * n + "</b></i>" * n, "<p>a</p>" * n, f"<article>{'<h2>t</h2><p>some words</p>' * n}</article>", "<div class='comments'><main>" * n, "<" * n, "<a b='" * n]
+        began = time.process_time()
+        for page in pages:
+            htmltext.extract(page)
+        return time.process_time() - began
+
+    took(1000)
+    small, large = took(4000), took(32000)
+    assert large < 24 * small + 1.0
+    assert htmltext.extract(f"<article>{'<h2>t</h2><p>some words</p>' * 20000}</article>") == " ".join(["t some words"] * 20000)
 
 
 # -- 8: mixing
