@@ -241,12 +241,26 @@ def condition(node, lexed: Column) -> Column:
     return reduce(lambda a, b: a & b if isinstance(node, All) else a | b, parts)
 
 
-def required(node) -> set[str]:
-    """Lexemes that every match holds: what a postings lookup may start from."""
+Leaf = tuple[str, bool]  # a lexeme, and whether it is a prefix
+
+
+def leaves(node) -> set[Leaf]:
+    """The lexemes that an expression looks for; excluded ones are not among them."""
+    if isinstance(node, Words):
+        return {(w, node.prefix and i == len(node.lexemes) - 1) for i, w in enumerate(node.lexemes)}
+    return set() if isinstance(node, Not) else set().union(*map(leaves, node.parts))
+
+
+def cover(node, counts: dict[Leaf, int]) -> tuple[int, set[Leaf]] | None:
+    """The cheapest lexemes of which every match holds one, and their postings; None where there are none."""
     if isinstance(node, Words):
-        return set(node.lexemes[:-1] if node.prefix else node.lexemes)
+        least = min(sorted(leaves(node)), key=lambda leaf: counts[leaf])
+        return counts[least], {least}
+    if isinstance(node, Not):
+        return None
+    parts = [cover(p, counts) for p in node.parts]
     if isinstance(node, All):
-        return set().union(*map(required, node.parts))
-    if isinstance(node, Any_):
-        return set.intersection(*map(required, node.parts))
-    return set()
+        return min((p for p in parts if p is not None), key=lambda p: p[0], default=None)
+    if any(p is None for p in parts):
+        return None
+    return sum(p[0] for p in parts), set().union(*(p[1] for p in parts))

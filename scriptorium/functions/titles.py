@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -60,3 +61,12 @@ def document_id(filename: Column, sha256: Column) -> Column:
 
 def is_safe_id(value: Column) -> Column:
     return value.rlike("^[a-z][a-z0-9-]*$")
+
+
+def safe_id(value: str) -> bool:
+    return bool(re.fullmatch(r"[a-z][a-z0-9-]*", value))
+
+
+def is_safe_asset(name: Column) -> Column:
+    """Names that cannot leave a folder: letters, digits, dots, dashes and underscores, not two dots."""
+    return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$") & ~F.contains(name, F.lit(".."))

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAFE_ID = re.compile(r"[a-z][a-z0-9-]*")
@@ -172,10 +172,36 @@ def split_failures(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flat.where("block_id is not null"), flat.where("block_id is null").select("document_id", F.col("text").alias("reason"))
 
 
-def validate(flat: DataFrame, known_ids: DataFrame) -> DataFrame:
+def known_blocks(documents: DataFrame) -> DataFrame:
+    """document_id, block_id of all blocks, items and cells of documents (document_id, title, semantic)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = pa.schema([("document_id", pa.string()), ("block_id", pa.string())])
+        for batch in batches:
+            for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    ids = semantic_ids(json.loads(text))
+                except (ValueError, KeyError, TypeError, AttributeError):
+                    continue  # flatten() says why
+                yield pa.RecordBatch.from_pydict({"document_id": [one] * len(ids), "block_id": ids}, form)
+
+    return documents.select("document_id", "semantic").mapInArrow(run, "document_id string, block_id string")
+
+
+def with_title(semantic: Column, title: Column) -> Column:
+    """The JSON with metadata.displayTitle set: the chosen title travels with the document."""
+    shown = F.to_json(F.struct(title.alias("displayTitle")))
+    body = F.regexp_replace(shown, r"^\{|\}$", "")
+    opened = r'^(\s*\{\s*"metadata"\s*:\s*\{)(\s*"displayTitle"\s*:\s*(?:null|"(?:[^"\\]|\\.)*")\s*,?)?'
+    rest = F.regexp_replace(semantic, opened, "")
+    comma = F.when(rest.rlike(r"^\s*\}"), "").otherwise(",")
+    return F.when(semantic.rlike(opened), F.concat(F.regexp_extract(semantic, opened, 1), body, comma, rest)).otherwise(semantic)
+
+
+def validate(flat: DataFrame, known_ids: DataFrame | None) -> DataFrame:
     """Records that may not be imported, each with a reason: unknown block, type, length, ids, repeated block.
 
-    known_ids: document_id, block_id of all blocks of the documents.
+    known_ids: document_id, block_id of all blocks of the documents; None where that is not asked.
     """
     from scriptorium.functions.titles import is_safe_id
 
@@ -183,5 +209,7 @@ def validate(flat: DataFrame, known_ids: DataFrame) -> DataFrame:
     reason = F.when(~F.col("block_type").isin(*BLOCK_TYPES), "block type is not allowed")
     reason = reason.when(~F.length("text").between(1, 20_000), "text length is invalid").when(~is_safe_id(F.col("section_id")) | ~is_safe_id(F.col("block_id")), "invalid id")
     bad = flat.select("document_id", "block_id", reason.alias("reason")).where("reason is not null")
-    unknown = flat.join(known_ids, ["document_id", "block_id"], "left_anti").select("document_id", "block_id", F.lit("references an unknown block").alias("reason"))
-    return bad.unionByName(unknown).unionByName(counted.select("document_id", "block_id", F.lit("repeated block").alias("reason")))
+    bad = bad.unionByName(counted.select("document_id", "block_id", F.lit("repeated block").alias("reason")))
+    if known_ids is None:
+        return bad
+    return bad.unionByName(flat.join(known_ids, ["document_id", "block_id"], "left_anti").select("document_id", "block_id", F.lit("references an unknown block").alias("reason")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ USEFUL_RESULTS = 3
 MAX_DISTANCE, MAX_LENGTH_DELTA, MIN_CORRECTABLE = 2, 2, 3
 MAX_EXAMINED, MAX_CORRECTIONS, MAX_CORRECTED_TERMS = 100, 3, 3
 SUGGESTION_PREFIX, MAX_SUGGESTIONS = (2, 100), 10
+#: Queries of a batch whose words may be broadcast: at most 24 each.
+MANY = 10_000
 
 
 def by_name(column: str) -> Column:
@@ -66,13 +69,70 @@ def result_order() -> list[Column]:
     return [F.col("tier"), F.col("rank").desc(), by_name("document_title"), F.col("page_number"), by_name("block_id")]
 
 
-def stage(blocks: DataFrame, documents: DataFrame, query: Q.Query, match_class: str, filters: Filters = Filters(), limit: int = MAX_RESULTS, node=None) -> DataFrame | None:
-    """One stage's candidates, best first; None where the stage does not apply to the query."""
+@dataclass
+class Lookup:
+    """Stored postings (lexeme, document_id, block_id), sorted by lexeme: of simple lexemes and titles, and of stems."""
+
+    simple: DataFrame
+    english: DataFrame
+
+
+#: Documents that postings may name for a stage to fetch only these; beyond, it scans.
+FETCH = 1000
+
+
+def _any(leaves) -> Column:
+    exact = sorted(w for w, prefix in leaves if not prefix)
+    parts = ([F.col("lexeme").isin(exact)] if exact else []) + [F.startswith("lexeme", F.lit(w)) for w, prefix in sorted(leaves) if prefix]
+    return reduce(lambda a, b: a | b, parts)
+
+
+def looked_up(postings: DataFrame, node, filters: Filters = Filters()) -> tuple[list[DataFrame], list[str] | None]:
+    """The lookups made, and the documents that can match; None if they are too many to fetch one by one.
+
+    Every match holds a lexeme of the expression's cheapest cover: of a conjunction the rarest part,
+    of alternatives one of each. Counts and ids come from scans of the lexemes' ranges alone.
+    """
+    leaves = Q.leaves(node)
+    if not leaves:
+        return [], None
+    mine = postings.where(F.col("document_id") == filters.document_id) if filters.document_id else postings
+    ordered_leaves = sorted(leaves)
+    counted = mine.where(_any(leaves)).agg(*[F.count(F.when(_any([leaf]), 1)).alias(f"n{i}") for i, leaf in enumerate(ordered_leaves)])
+    counts = dict(zip(ordered_leaves, counted.first()))
+    found = Q.cover(node, counts)
+    if found is None:
+        return [counted], None
+    wanted = [leaf for leaf in found[1] if counts[leaf]]
+    if not wanted:
+        return [counted], []
+    ids = mine.where(_any(wanted)).select("document_id").distinct().limit(FETCH + 1)
+    got = [r.document_id for r in ids.collect()]  # at most FETCH + 1
+    return [counted, ids], sorted(got) if len(got) <= FETCH else None
+
+
+def expression(query: Q.Query, match_class: str):
+    """What a stage looks for; None where it does not apply to the query."""
+    if match_class == "stemmed":
+        return Q.strict(query, lex_english)
+    return {"direct": Q.strict, "prefix": Q.prefix, "synonym": Q.synonym, "partial": Q.partial, "corrected": Q.strict}[match_class](query)
+
+
+def stage(blocks: DataFrame, documents: DataFrame, query: Q.Query, match_class: str, filters: Filters = Filters(), limit: int = MAX_RESULTS, node=None, lookup: Lookup | None = None) -> DataFrame | None:
+    """One stage's candidates, best first; None where the stage does not apply to the query.
+
+    With stored postings only the documents that they name are read; where these are more than FETCH,
+    or without postings, blocks are scanned with the whole expression as a filter, without a shuffle.
+    """
     english = match_class == "stemmed"
-    if node is None:
-        node = Q.strict(query, lex_english) if english else {"direct": Q.strict, "prefix": Q.prefix, "synonym": Q.synonym, "partial": Q.partial, "corrected": Q.strict}[match_class](query)
+    node = node or expression(query, match_class)
     if node is None:
         return None
+    if lookup is not None:
+        _, ids = looked_up(lookup.english if english else lookup.simple, node, filters)
+        if ids is not None:
+            only = F.col("document_id").isin(ids) if ids else F.lit(False)
+            blocks, documents = blocks.where(only), documents.where(only)
     rows = matches(blocks, documents, node, filters, "lex_english" if english else "lex_simple", titles=not english)
     return ordered(scored(rows, query, match_class)).limit(min(STAGE_CAPS[match_class], limit * CANDIDATES_PER_RESULT))
 
@@ -84,10 +144,10 @@ def group_and_cap(candidates: DataFrame, per_document: int = PER_DOCUMENT, total
     """
     group = ["document_id", "section_id", "block_type"]
     best = Window.partitionBy(*group).orderBy(*result_order())
-    ranked = candidates.withColumn("place", F.row_number().over(best))
     other = F.struct("place", "block_id", "page_number", "text", F.col("rank"), "match_class")
-    rest = ranked.groupBy(*group).agg(F.sort_array(F.collect_list(F.when(F.col("place") > 1, other))).alias("additional_matches"))
-    first = ranked.where("place = 1").drop("place").join(rest, group)
+    ranked = candidates.withColumn("place", F.row_number().over(best))
+    rest = F.sort_array(F.collect_list(F.when(F.col("place") > 1, other)).over(Window.partitionBy(*group)))
+    first = ranked.withColumn("additional_matches", rest).where("place = 1").drop("place")
     capped = Window.partitionBy("document_id").orderBy(*result_order())
     kept = first.withColumn("place", F.row_number().over(capped)).where(F.col("place") <= per_document).drop("place")
     return ordered(kept).limit(total)
@@ -108,7 +168,7 @@ class Response:
     expansions: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
 
 
-def search(blocks: DataFrame, documents: DataFrame, vocabulary: DataFrame, text: str, limit: int = 20, per_document: int = PER_DOCUMENT, filters: Filters = Filters()) -> Response:
+def search(blocks: DataFrame, documents: DataFrame, vocabulary: DataFrame, text: str, limit: int = 20, per_document: int = PER_DOCUMENT, filters: Filters = Filters(), lookup: Lookup | None = None) -> Response:
     """The ladder: stages from strict to loose until there are enough results.
 
     Each stage is one bounded top-k; its candidates (at most 400 rows) are kept on the driver, so a
@@ -149,7 +209,7 @@ def search(blocks: DataFrame, documents: DataFrame, vocabulary: DataFrame, text:
                 continue
             query, out.corrections = fixed
             out.corrected_query = query.normalized
-        rows = stage(blocks, documents, query, match_class, filters, limit)
+        rows = stage(blocks, documents, query, match_class, filters, limit, lookup=lookup)
         if rows is None:
             continue
         out.stages.append(match_class)
@@ -183,7 +243,10 @@ def corrections(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     known = vocabulary.select("term").distinct()
     unknown = terms.select("term").where(F.length("term") >= MIN_CORRECTABLE).distinct().join(known, "term", "left_anti")
     left = unknown.withColumn("start", F.substring("term", 1, 2))
-    right = known.select(F.col("term").alias("candidate"), F.substring("term", 1, 2).alias("start"))
+    right = known.select(F.col("term").alias("candidate"), F.substring("term", 1, 2).alias("start"), F.length("term").alias("size"))
+    # of one start and length only the first can be looked at: a common start brings a bounded number of pairs
+    first = F.row_number().over(Window.partitionBy("start", "size").orderBy("candidate"))
+    right = right.withColumn("n", first).where(F.col("n") <= MAX_EXAMINED).drop("n", "size")
     span = F.length("candidate").between(F.greatest(F.lit(TERM_LENGTHS[0]), F.length("term") - MAX_LENGTH_DELTA), F.length("term") + MAX_LENGTH_DELTA)
     pairs = left.join(right, (left["start"] == right["start"]) & span).select("term", "candidate")
     examined = pairs.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("candidate"))).where(F.col("n") <= MAX_EXAMINED)
@@ -236,13 +299,26 @@ def suggest(suggestions: DataFrame, raw: str) -> DataFrame:
 def search_many(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """query_id, document_id, block_id: strict matches of many queries of plain words at once.
 
-    queries: query_id, text. Each query's distinct lexemes meet their postings by an equi-join; a block
-    that holds all of them matches. Nothing is compared outside shared lexemes.
+    queries: query_id, text. Each query's rarest lexeme names its candidates; they then meet the
+    postings of its other lexemes by lexeme, document and block, so a common word costs no more than
+    the candidates that are asked about it. Titles are not searched.
     """
-    words = queries.select("query_id", F.array_distinct(L.lexemes(F.col("text"))).alias("words"))
+    words = queries.select("query_id", F.array_distinct(L.lexemes(F.col("text"))).alias("words")).where(F.size("words") > 0)
     asked = words.select("query_id", F.size("words").alias("wanted"), F.explode("words").alias("lexeme"))
-    hits = asked.join(postings.select("lexeme", "document_id", "block_id"), "lexeme").groupBy("query_id", "document_id", "block_id").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
-    return hits.where("n = wanted").select("query_id", "document_id", "block_id")
+    held = postings.where("block_id is not null").select("lexeme", "document_id", "block_id")
+    needed = asked.select("lexeme").distinct()
+    few = lambda df: F.broadcast(df) if few_queries else df
+    few_queries = queries.limit(MANY + 1).count() <= MANY
+    counts = held.join(few(needed), "lexeme").groupBy("lexeme").agg(F.count(F.lit(1)).alias("n"))
+    known = asked.join(counts, "lexeme")
+    # a query with an unknown word has no match
+    rarest = known.groupBy("query_id").agg(F.min(F.struct("n", "lexeme")).alias("r"), F.max("wanted").alias("wanted"), F.count(F.lit(1)).alias("found")).where("found = wanted")
+    rarest = rarest.select("query_id", "wanted", F.col("r.lexeme").alias("lexeme"))
+    candidates = held.join(few(rarest), "lexeme").select("query_id", "wanted", "document_id", "block_id", F.col("lexeme").alias("rarest"))
+    alone = candidates.where("wanted = 1").select("query_id", "document_id", "block_id")
+    rest = candidates.where("wanted > 1").join(few(asked.select("query_id", "lexeme")), "query_id").where("lexeme <> rarest")
+    hits = rest.join(held, ["lexeme", "document_id", "block_id"]).groupBy("query_id", "document_id", "block_id").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
+    return hits.where("n = wanted - 1").select("query_id", "document_id", "block_id").unionByName(alone)
 
 
 def explain(df: DataFrame, mode: str = "formatted") -> str:
@@ -250,4 +326,4 @@ def explain(df: DataFrame, mode: str = "formatted") -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
-__all__ = ["Response", "corrections", "correct_query", "explain", "group_and_cap", "has_term", "matches", "normalise", "rank_suggestions", "scored", "search", "search_many", "stage", "suggest", "with_snippets"]
+__all__ = ["Lookup", "Response", "corrections", "correct_query", "explain", "group_and_cap", "has_term", "matches", "normalise", "rank_suggestions", "scored", "search", "search_many", "stage", "suggest", "with_snippets"]

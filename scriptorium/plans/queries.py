@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions import html
 from scriptorium.functions import query as Q
 from scriptorium.functions import titles as T
 from scriptorium.functions.filters import Filters
 from scriptorium.functions.lexemes import collapse
 from scriptorium.operators import index, maintain
 from scriptorium.operators import search as S
+from scriptorium.plans.library import library
 from scriptorium.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,8 +138,7 @@ def _stage_query(name: str, text: str, match_class: str, filters: Filters = Filt
     limit = min(S.STAGE_CAPS[match_class], S.MAX_RESULTS * S.CANDIDATES_PER_RESULT)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = S.stage(_blocks(spark, sf_dir), _documents(spark, sf_dir), query, match_class, filters, node=tree)
-        return rows.select(*_SHOWN)
+        return library(spark, sf_dir).stage(query, match_class, filters, node=tree).select(*_SHOWN)
 
     QUERIES[name] = run
     ORACLES[name] = f"WITH {_BLOCKS}, {_sql_stage(query, tree, match_class, limit, where)} SELECT {', '.join(_SHOWN)} FROM top"
@@ -228,17 +229,20 @@ def _grouped() -> None:
     tree = Q.partial(query)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = S.stage(_blocks(spark, sf_dir), _documents(spark, sf_dir), query, "partial", node=tree)
+        rows = library(spark, sf_dir).stage(query, "partial", node=tree)
         out = S.group_and_cap(rows, per_document=2, total=25)
         return out.select(*_SHOWN, F.size("additional_matches").cast("long").alias("others"))
 
     QUERIES["search_grouped"] = run
-    ORACLES["search_grouped"] = f"""WITH {_BLOCKS}, {_sql_stage(query, tree, "partial", 200)},
-placed AS (SELECT *, row_number() OVER g AS place, count(*) OVER (PARTITION BY document_id, section_id, block_type) - 1 AS others FROM top WINDOW g AS (PARTITION BY document_id, section_id, block_type ORDER BY rank DESC, document_title, page_number, block_id)),
-capped AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY rank DESC, document_title, page_number, block_id) AS n FROM placed WHERE place = 1)
+    ORACLES["search_grouped"] = f"""WITH {_BLOCKS}, {_sql_stage(query, tree, "partial", 200)}, {_sql_grouped(2)}
 SELECT {', '.join(_SHOWN)}, others FROM capped WHERE n <= 2 ORDER BY rank DESC, document_title, page_number, block_id LIMIT 25"""
 
 
+def _sql_grouped(per_document: int) -> str:
+    return """placed AS (SELECT *, row_number() OVER g AS place, count(*) OVER (PARTITION BY document_id, section_id, block_type) - 1 AS others FROM top WINDOW g AS (PARTITION BY document_id, section_id, block_type ORDER BY rank DESC, document_title, page_number, block_id)),
+capped AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY rank DESC, document_title, page_number, block_id) AS n FROM placed WHERE place = 1)"""
+
+
 _grouped()
 
 
@@ -256,15 +260,59 @@ flat AS (SELECT DISTINCT document_id, block_id, unnest(words) AS lexeme FROM blo
 SELECT query_id, document_id, block_id FROM words_asked JOIN flat USING (lexeme) GROUP BY query_id, document_id, block_id HAVING count(*) = any_value(wanted)""",
 )
 def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search_many(_first_three_words(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), index.postings(_blocks(spark, sf_dir)))
+    return library(spark, sf_dir).search_many(_first_three_words(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+@_register(
+    "search_many_whole",
+    f"""WITH {_BLOCKS},
+asked AS (SELECT item_id AS query_id, list_distinct({_sql_lex("text")}) AS w FROM benchmark),
+words_asked AS (SELECT query_id, len(w) AS wanted, unnest(w) AS lexeme FROM asked),
+flat AS (SELECT DISTINCT document_id, block_id, unnest(words) AS lexeme FROM blocks)
+SELECT query_id, document_id, block_id FROM words_asked JOIN flat USING (lexeme) GROUP BY query_id, document_id, block_id HAVING count(*) = any_value(wanted)""",
+)
+def search_many_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of whole benchmark texts as queries."""
+    return library(spark, sf_dir).search_many(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text"))
+
+
+def _ladder(name: str, text: str, match_class: str, found: Q.Query, corrected: str) -> None:
+    """A whole search, which ends at one stage: its best rows, grouped and capped, with the strategy. corrected: SQL of the corrected query."""
+    tree = S.expression(found, match_class)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = library(spark, sf_dir).search(text, limit=10)
+        return out.results.select(*_SHOWN, "match_class", "snippet", F.lit(out.strategy).alias("strategy"), F.lit(out.corrected_query).cast("string").alias("corrected_query"))
+
+    run.__doc__ = f"The whole ladder for {text!r}, with strategy and snippets."
+    QUERIES[name] = run
+    # short texts are their own snippets
+    ORACLES[name] = f"""WITH {_VOCABULARY.replace(_BASE, _BLOCKS, 1)}, {_sql_stage(found, tree, match_class, min(S.STAGE_CAPS[match_class], 80))}, {_sql_grouped(5)}
+SELECT {', '.join(_SHOWN)}, '{match_class}' AS match_class, shown AS snippet, '{match_class}' AS strategy, {corrected} AS corrected_query
+FROM capped WHERE n <= 5 ORDER BY rank DESC, document_title, page_number, block_id LIMIT 10"""
+
+
+_ladder("search_ladder", "documnt src7", "partial", Q.parse("documnt src7"), "CAST(NULL AS VARCHAR)")
+_ladder(
+    "search_corrected", "documnt", "corrected", Q.parse("document"),
+    "(SELECT term FROM (SELECT DISTINCT term FROM vocabulary WHERE left(term, 2) = 'do' AND length(term) BETWEEN 5 AND 9 ORDER BY term LIMIT 100) WHERE levenshtein(term, 'documnt') BETWEEN 1 AND 2 ORDER BY levenshtein(term, 'documnt'), term LIMIT 1)",
+)
+
+
+def _stemmed() -> None:
+    query = Q.parse("licensing versions")
+    where = "list_has_any(words, ['license', 'licensed', 'licenses', 'licensing']) AND list_has_any(words, ['version', 'versions', 'versioned', 'versioning'])"
+    everything = Q.Not(Q.Words(("\x02",)))  # the forms of the two stems are the condition
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return library(spark, sf_dir).stage(query, "stemmed").select(*_SHOWN)
+
+    QUERIES["search_stemmed"] = run
+    body = _BLOCKS.replace("SELECT document_id, document_title, section_id, block_id, page_number, block_type, text, lexed FROM blocks\n  UNION ALL SELECT document_id, document_title, section_id, block_id, page_number, block_type, text, lexed FROM titles", "SELECT document_id, document_title, section_id, block_id, page_number, block_type, text, lexed, words FROM blocks")
+    ORACLES["search_stemmed"] = f"WITH {body}, {_sql_stage(query, everything, 'stemmed', min(S.STAGE_CAPS['stemmed'], S.MAX_RESULTS * S.CANDIDATES_PER_RESULT), where)} SELECT {', '.join(_SHOWN)} FROM top"
 
 
-@_register("search_ladder")
-def search_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole ladder for one misspelt query, with strategy and snippets."""
-    blocks = index.index_blocks(_records(spark, sf_dir))
-    out = S.search(blocks, _documents(spark, sf_dir), _vocabulary(spark, sf_dir), "documnt src7", limit=10)
-    return out.results.select(*_SHOWN, "match_class", "snippet", F.lit(out.strategy).alias("strategy"))
+_stemmed()
 
 
 @_register(
@@ -272,7 +320,7 @@ def search_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_SUGGESTIONS}, typed AS (SELECT * FROM suggestions WHERE starts_with(normalized, 'the')), tiered AS (SELECT normalized, CASE suggestion_type WHEN 'title' THEN 0 WHEN 'heading' THEN 1 ELSE 2 END AS tier, length(text) AS size, text, suggestion_type FROM typed), best AS (SELECT normalized, min((tier, size, text, suggestion_type)) AS b FROM tiered GROUP BY normalized) SELECT b[3] AS text, b[4] AS suggestion_type FROM best ORDER BY b[1], b[2], lower(b[3]), b[3] LIMIT 10",
 )
 def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.suggest(_suggestions(spark, sf_dir), "  The ")
+    return library(spark, sf_dir).suggest("  The ")
 
 
 _MISSPELT = ["documnt", "scr7x", "thene", "licens", "enont", "tionn", "thereon"]
@@ -288,7 +336,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY distance, candi
 SELECT term, candidate, distance, place FROM best WHERE place <= 3""",
 )
 def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.corrections(spark.createDataFrame([(w,) for w in _MISSPELT], "term string"), _vocabulary(spark, sf_dir))
+    return S.corrections(spark.createDataFrame([(w,) for w in _MISSPELT], "term string"), library(spark, sf_dir).table("vocabulary"))
 
 
 # -- documents -----------------------------------------------------------------------------------
@@ -366,7 +414,7 @@ def import_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def safe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    allowed = F.filter(found, lambda h: F.lower(F.trim(h)).rlike("^(https?://|mailto:)"))
+    allowed = F.filter(found, html.allowed)
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.size(allowed).cast("long").alias("external"), F.size(found).cast("long").alias("links"))
 
 

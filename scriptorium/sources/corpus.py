@@ -15,9 +15,9 @@ LINES_PER_PAGE = 10
 HEADING_CHARACTERS = 80
 
 
-def documents(rows: DataFrame) -> DataFrame:
-    """document_id, title."""
-    return rows.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("document_id"), F.concat_ws(" ", "lang", "source", F.lit("document"), F.col("doc_id").cast("string")).alias("title"))
+def documents(rows: DataFrame, *more: str) -> DataFrame:
+    """document_id, title, and more columns of the rows."""
+    return rows.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("document_id"), F.concat_ws(" ", "lang", "source", F.lit("document"), F.col("doc_id").cast("string")).alias("title"), *more)
 
 
 def records(rows: DataFrame) -> DataFrame:

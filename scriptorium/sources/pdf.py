@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import json
 import struct
 import time
@@ -153,10 +152,6 @@ def portable(document: dict) -> str:
     return json.dumps(document | {"assets": [{k: v for k, v in a.items() if k != "bytes"} for a in document["assets"]]})
 
 
-def data_uri(asset: dict) -> str:
-    return f"data:{asset['mimeType']};base64,{base64.b64encode(asset['bytes']).decode()}"
-
-
 ROW = "path string, original_filename string, content_sha256 string, semantic string, assets array<struct<id: string, mime_type: string, width: int, height: int, content: binary>>, error_code string, error_detail string"
 
 

@@ -21,12 +21,12 @@ def json_documents(spark: SparkSession, folder: str, pattern: str = "*.json", fi
 def ingest(engine: Engine, stream: DataFrame, checkpoint: str, once: bool = True, failures: str | None = None) -> StreamingQuery:
     """Feeds a stream to the library; once: what is there now, else on and on.
 
-    A batch that is run again after a failure replaces what it had put in. failures: where rejected
-    documents are written, with their reasons.
+    A batch that is run again after a failure replaces what it had put in. A document that cannot go
+    in, for a repeated or taken title or content too, is a row of failures and never stops the stream.
+    failures: where these are written, with their reasons, for each batch.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates(["content_sha256"])
         rejected = engine.ingest(batch, replace=True)
         if failures:
             rejected.write.mode("overwrite").parquet(f"{failures}/batch={number}")

@@ -83,9 +83,14 @@ def test_synonym(raw, said):
     assert (tree and Q.say(tree)) == said
 
 
-def test_required():
-    q = Q.parse("a-12 engine OR engine motor")
-    assert Q.required(Q.strict(q)) == {"engine"} and Q.required(Q.prefix(Q.parse("engine ins"))) == {"engine"}
+def test_cover():
+    q = Q.parse('engine "hot pump" -cold')
+    counts = {("engine", False): 5, ("hot", False): 9, ("pump", False): 2}
+    assert Q.leaves(Q.strict(q)) == set(counts) and Q.cover(Q.strict(q), counts) == (2, {("pump", False)})
+    assert Q.cover(Q.partial(q), counts) == (7, {("engine", False), ("pump", False)})
+    assert Q.leaves(Q.prefix(Q.parse("engine ins"))) == {("engine", False), ("ins", True)}
+    either = Q.strict(Q.parse("engine OR -cold"))
+    assert Q.cover(either, {("engine", False): 1}) is None
 
 
 def test_lexemes():
