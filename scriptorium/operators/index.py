@@ -35,16 +35,12 @@ def index_blocks(records: DataFrame, english: bool = True) -> DataFrame:
 def postings(blocks: DataFrame, lexed: str = "lex_simple") -> DataFrame:
     """lexeme, document_id, block_id, positions: the inverted index; written sorted by lexeme, a term is a range.
 
-    A block's positions are grouped within its row: its lexemes are sorted with their places, and each
-    run of equal ones is a posting.
+    The one shuffle deals out whole blocks; their positions are grouped where they are made.
     """
-    words = F.array_remove(F.split(lexed, L.MARK), "")
-    placed = blocks.select("document_id", "block_id", F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias("s"))
-    heads = F.filter(F.transform("s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1)["w"] != x["w"]), i)), lambda i: i.isNotNull())
-    runs = placed.withColumn("h", heads)
-    size = lambda k, at: F.coalesce(F.get("h", k + 1), F.size("s")) - at
-    made = F.transform("h", lambda at, k: F.struct(F.get("s", at)["w"].alias("lexeme"), F.transform(F.slice("s", at + 1, size(k, at)), lambda x: x["i"]).alias("positions")))
-    return runs.select("document_id", "block_id", F.inline(made)).select("lexeme", "document_id", "block_id", "positions")
+    dealt = blocks.select("document_id", "block_id", F.col(lexed).alias("lexed")).repartition("document_id", "block_id")
+    words = F.array_remove(F.split("lexed", L.MARK), "")
+    flat = dealt.select("document_id", "block_id", F.posexplode(words).alias("position", "lexeme"))
+    return flat.groupBy("lexeme", "document_id", "block_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
 def title_postings(documents: DataFrame) -> DataFrame:

@@ -264,11 +264,12 @@ def test_stream(spark, tmp_path):
 
 
 def test_postings_of_a_block(spark):
-    """Positions are grouped within the row; the plan has no shuffle."""
+    """Positions are grouped where they are made; only whole blocks are shuffled."""
     blocks = spark.createDataFrame([("d", "b", "\x01a\x01b\x01a\x01"), ("d", "c", "\x01"), ("d", "e", None)], "document_id string, block_id string, lex_simple string")
     out = index.postings(blocks)
     assert sorted((r.lexeme, r.block_id, r.positions) for r in out.collect()) == [("a", "b", [0, 2]), ("b", "b", [1])]
-    assert "Exchange" not in S.explain(out)
+    plan = S.explain(index.postings(blocks), "simple")
+    assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(document_id" in plan
 
 
 TREE = {
