@@ -35,7 +35,7 @@ LOW, HIGH = 0.002, 0.1
 SUBSETS = ["80", "80", "40", "40", "10", "10", "10", "10", "04", "04", "04", "04", "04", "04", "04", "04"]
 BROADCAST_TERMS = 400_000
 NONE = "--------"
-_KNOTS, _BUCKET_ROWS = 32, 500
+_KNOTS, _BUCKET_ROWS = 128, 500
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -55,28 +55,43 @@ def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def _bucket(docs: DataFrame) -> Column:
-    """Buckets of neighbouring ids, ascending, of about _BUCKET_ROWS rows; null ids in the first."""
-    knots, n = docs.agg(F.percentile_approx("doc_id", [i / _KNOTS for i in range(_KNOTS + 1)], 10_000), F.count(F.lit(1))).first()
-    knots = sorted(set(knots or [0]))
-    parts = max(1, -(-n // (_KNOTS * _BUCKET_ROWS)))
-
-    def within(i: int) -> Column:
-        a, b = knots[i], knots[min(i + 1, len(knots) - 1)]
-        share = F.floor((F.col("doc_id").cast("double") - F.lit(float(a))) * F.lit(parts / max(1.0, float(b) - float(a))))
-        return F.lit(1 + i * parts) + F.greatest(F.lit(0), F.least(share, F.lit(parts - 1)))
+    """Buckets of neighbouring (doc_id, tie), ascending, of about _BUCKET_ROWS rows; null ids in the first ones.
+
+    Quantiles of the ids cut them into intervals of like many rows, and an interval is cut evenly. An
+    id that holds more than a thousandth of all rows, or null, is an interval of its own and cut by
+    its rows' ties, so that rows of one id do not meet in one bucket.
+    """
+    knots, n, nulls = docs.agg(F.percentile_approx("doc_id", [i / _KNOTS for i in range(_KNOTS + 1)], 10_000), F.count(F.lit(1)), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    often = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(_BUCKET_ROWS, n // 1000))
+    heavy = {r.doc_id: r.n for r in often.collect()}  # at most a thousand
+    edges = sorted({*(knots or [0]), *heavy, *(h + 1 for h in heavy if h < 2**63 - 1)})
+    even = max(1, -(-n // (_KNOTS * _BUCKET_ROWS)))
+    # the null ids' interval, then those of the edges: where it begins, how it is cut, its first bucket
+    low, parts, by_tie = [0, *edges], [max(1, -(-nulls // _BUCKET_ROWS))], [True]
+    for edge in edges:
+        by_tie.append(edge in heavy)
+        parts.append(-(-heavy[edge] // _BUCKET_ROWS) if edge in heavy else even)
+    width = [1.0, *(float(b) - float(a) for a, b in zip(edges, edges[1:])), 1.0]
+    first = [sum(parts[:i]) for i in range(len(parts))]
 
     def search(i: int, j: int) -> Column:
         if j - i == 1:
-            return within(i)
+            return F.lit(i + 2)
         mid = (i + j) // 2
-        return F.when(F.col("doc_id") < F.lit(knots[mid]), search(i, mid)).otherwise(search(mid, j))
+        return F.when(F.col("doc_id") < F.lit(edges[mid]), search(i, mid)).otherwise(search(mid, j))
 
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(search(0, len(knots))).cast("long")
+    interval = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(search(0, len(edges)))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), interval)
+    by_id = (F.col("doc_id").cast("double") - of([float(x) for x in low])) * of([p / w for p, w in zip(parts, width)])
+    by_hash = (F.col("tie").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * of(parts)
+    share = F.floor(F.when(of(by_tie), by_hash).otherwise(by_id))
+    return (of(first) + F.greatest(F.lit(0), F.least(share, of(parts) - 1))).cast("long")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """bucket, place, doc_id, text, after (the next text), and whether the row is only another bucket's first."""
-    docs = docs.withColumn("bucket", _bucket(docs)).withColumn("tie", F.xxhash64("text"))
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    docs = docs.withColumn("bucket", _bucket(docs))
     heads = docs.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
     chain = written(ranked(heads.withColumn("key", -F.col("bucket"))).select("rank", "bucket", "head.doc_id", "head.tie"), "heads")
     n = chain.count()

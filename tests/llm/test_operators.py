@@ -166,6 +166,37 @@ def test_fingerprints(spark, docs, empty):
     assert imatch.fingerprints(empty).count() == 0
 
 
+def wanted_edits(rows):
+    """(id, characters, SHA-256 of the edited text) of rows in descending id, null last, equal ids in any order of texts."""
+    out = collections.Counter()
+    for k, (i, t) in enumerate(rows):
+        after, h = rows[(k + 1) % len(rows)][1], len(t) // 2
+        out[(i, len(t), hashlib.sha256((t[: len(t) - h] + after[:h]).encode()).hexdigest())] += 1
+    return out
+
+
+def test_fingerprints_of_clustered_ids(spark, monkeypatch):
+    """Ids in clusters far apart, at the ends of their range, and thousands of neighbours: buckets stay in order."""
+    monkeypatch.setattr(imatch, "_BUCKET_ROWS", 7)
+    ids = [*range(60), *range(10**15, 10**15 + 60), 2**63 - 1, -(2**63), *range(-(10**6), -(10**6) + 40)]
+    rows = [(i, f"text {i} of words w{i % 7} and more") for i in ids]
+    out = imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), low=0.01, high=0.9).collect()
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in out) == wanted_edits(sorted(rows, reverse=True))
+
+
+@pytest.mark.parametrize("one", [None, 5])
+def test_fingerprints_of_one_id(spark, monkeypatch, one):
+    """All rows with one id, or none: they are cut by their texts' hashes, and each follows another."""
+    monkeypatch.setattr(imatch, "_BUCKET_ROWS", 7)
+    rows = [(one, f"{i % 90} text of some words v{i % 5}") for i in range(100)] + [(9, "nine"), (1, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets = df.withColumn("tie", F.xxhash64("text"))
+    assert buckets.withColumn("bucket", imatch._bucket(buckets)).groupBy("bucket").count().agg(F.max("count")).first()[0] < 40
+    order = [(r.doc_id, r.text) for r in buckets.orderBy(F.col("doc_id").desc_nulls_last(), F.col("tie").desc()).collect()]
+    out = imatch.fingerprints(df, low=0.01, high=0.9).collect()
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in out) == wanted_edits(order)
+
+
 # -- 3: licences
 
 
