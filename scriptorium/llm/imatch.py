@@ -47,7 +47,8 @@ def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
     """term, mask: the band's terms, with a bit for each subset that holds the term."""
     n = docs.count()
     counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    band = counted.where((F.col("df") >= F.lit(low * n)) & (F.col("df") <= F.lit(high * n)))
+    # written before the masks are made: a condition on them would be pushed below the count, and be asked of every word
+    band = written(counted.where((F.col("df") >= F.lit(low * n)) & (F.col("df") <= F.lit(high * n))).select("term"), "band")
     digest, mask = F.md5("term"), F.lit(0)
     for j, bound in enumerate(SUBSETS):
         mask = mask + F.when(F.substring("digest", 2 * j + 1, 2) < bound, 1 << j).otherwise(0)
