@@ -146,6 +146,26 @@ def outline_rows(document: dict) -> Iterator[dict]:
     yield from visit(document.get("outline") or [], [])
 
 
+OUTLINE = "document_id string, ordinal_path array<int>, level int, title string, target_page int, target_href string"
+
+
+def flatten_outline(documents: DataFrame) -> DataFrame:
+    """OUTLINE rows of documents (document_id, title, semantic); none of what is no JSON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = pa.schema([("document_id", pa.string()), ("ordinal_path", pa.list_(pa.int32())), ("level", pa.int32()), ("title", pa.string()), ("target_page", pa.int32()), ("target_href", pa.string())])
+        for batch in batches:
+            rows: list[dict] = []
+            for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    rows += [{"document_id": one, **r} for r in outline_rows(json.loads(text))]
+                except (ValueError, KeyError, TypeError, AttributeError):
+                    continue  # flatten() says why
+            yield pa.RecordBatch.from_pylist(rows, form)
+
+    return documents.select("document_id", "semantic").mapInArrow(run, OUTLINE)
+
+
 def flatten(documents: DataFrame) -> DataFrame:
     """RECORD rows of documents (document_id, title, semantic): a document that fails fails alone.
 
