@@ -5,8 +5,10 @@ Texts are equal when identical after lower-casing A-Z only; null counts as empty
 digest, has no watermark and so never expires: for each digest it retains the largest id, the
 content locator (file and row) of that row, and the count. Rows are pre-aggregated before the
 shuffle, so a hot digest is one row a task. On hits (a digest with more than one row) the locators
-lead to the whole texts, whose bytes are compared; rows whose bytes differ (a digest collision) are
-grouped anew by their bytes.
+lead to the whole texts, and the distinct texts of each digest are counted, by their bytes and
+pre-aggregated too, so a hot text travels once a task; where a digest has several (a collision) its
+rows are grouped anew by their bytes. Joins by digest broadcast the digests of more than `HOT` rows,
+as far as these are few, and shuffle the others.
 
 Of equal texts the row with the largest id stays; rows with a null id come last; of rows with equal
 id and text, the one latest by file and row stays. Extra columns are not read. An empty table gives
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import _bytes as B
-from scriptorium.llm._common import PLACE, map_batches, placed_rows, shared_dir, shielded, written
+from scriptorium.llm._common import PLACE, map_batches, placed_rows, shared_dir, shielded, small, written
 
 #: State on disk; stores take the disk that their rows need, and commits write what has changed.
 STATE = {
@@ -78,10 +80,15 @@ def run_stream(arrivals_path: str, schema, state_path: str, spark) -> DataFrame:
     return spark.read.schema(kept).parquet(updates).groupBy("digest").agg(F.max_by("keep", "n").alias("keep"), F.max("n").alias("n"))
 
 
-def _compared(batch: pa.RecordBatch) -> dict:
-    mine, other = ([x for s in B.slices(batch.column(k)) for x in normalised(s)] for k in ("text", "keep_text"))
-    same = [a == b for a, b in zip(mine, other)]
-    return {k: batch.column(k) for k in ("digest", "doc_id", "file", "place")} | {"same": same, "bytes": [None if s else a for s, a in zip(same, mine)]}
+#: Rows of a digest from which its join is a broadcast: there are at most rows / HOT such digests.
+HOT = 10_000
+
+
+def by_digest(rows: DataFrame, groups: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows with what groups (one row for each digest, n its rows) say; hot: the groups of many rows."""
+    if hot is None:
+        return rows.join(groups, "digest")
+    return rows.join(hot, "digest").unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(groups.where(F.col("n") <= HOT), "digest"))
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, placed: bool = False) -> DataFrame:
@@ -100,20 +107,20 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return come.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "file", "place")
     state = written(run_stream(arrivals, form, shared_dir(spark, "dedup-state"), spark), "state")
 
-    held = state.where("n > 1")
-    is_keeper = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("file") == F.col("keep.file")) & (F.col("place") == F.col("keep.place"))
-    hits = come.select("file", "place", "digest").join(held, "digest").select("digest", "file", "place", "keep")
-    needed = docs.join(hits, ["file", "place"])
-    needed = written(needed.select("digest", "doc_id", "file", "place", "text", is_keeper.alias("keeper")), "hits")
-    keepers = needed.where("keeper").select("digest", F.col("text").alias("keep_text"))
-    compared = map_batches(needed.where("not keeper").join(keepers, "digest"), _compared, "digest string, doc_id long, file string, place long, same boolean, bytes binary")
-    differ = written(compared.where("not same").drop("same"), "collisions")
-
-    away = differ.groupBy("digest").agg(F.count(F.lit(1)).alias("away"))
-    regrouped = differ.groupBy("digest", "bytes").agg(F.max(F.struct("doc_id", "file", "place")).alias("own"), F.count(F.lit(1)).alias("own_n"))
-    moved = differ.join(regrouped, ["digest", "bytes"]).select("file", "place", "own", "own_n")
-    groups = state.join(away, "digest", "left").select("digest", "keep", (F.col("n") - F.coalesce("away", F.lit(0))).alias("n"))
-    out = come.join(groups, "digest").join(moved, ["file", "place"], "left")
+    hot = written(state.where(F.col("n") > HOT), "hot")
+    hot = None if hot.isEmpty() else small(hot)
+    hits = by_digest(come.select("file", "place", "digest"), state.where("n > 1").select("digest", "n"), None if hot is None else hot.select("digest", "n"))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    needed = docs.join(hits.drop("n"), ["file", "place"]).select("digest", "doc_id", "file", "place", F.coalesce(lower, F.lit("")).alias("bytes"))
+    several = needed.select("digest", "bytes").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
+    several = written(several, "collisions")
+    if several.isEmpty():
+        moved = come.limit(0).select("file", "place", F.struct("doc_id", "file", "place").alias("own"), F.lit(0).cast("long").alias("own_n"))
+    else:  # all rows of these digests have groups of their own
+        differ = written(needed.join(small(several), "digest"), "collided")
+        regrouped = differ.groupBy("digest", "bytes").agg(F.max(F.struct("doc_id", "file", "place")).alias("own"), F.count(F.lit(1)).alias("own_n"))
+        moved = differ.join(regrouped, ["digest", "bytes"]).select("file", "place", "own", "own_n")
+    out = by_digest(come, state, hot).join(F.broadcast(moved) if several.isEmpty() else moved, ["file", "place"], "left")
     keep, size = F.coalesce("own", "keep"), F.coalesce("own_n", "n")
     kept = (F.col("file") == keep["file"]) & (F.col("place") == keep["place"])
     return out.select("doc_id", keep["doc_id"].alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"), "file", "place")

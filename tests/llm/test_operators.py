@@ -445,6 +445,18 @@ def test_exact_duplicates(spark, docs, empty, bits):
         assert kept.columns == rows.columns and kept.count() == len(groups)
 
 
+@pytest.mark.parametrize("bits", [256, 4])
+def test_hot_texts(spark, monkeypatch, bits):
+    """Digests of many rows are joined by a broadcast, also where texts collide."""
+    monkeypatch.setattr(exactdup, "HOT", 5)
+    rows = [(i, "Hot text" if i % 3 else f"text {i % 7}") for i in range(60)]
+    out = exactdup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), digest_bits=bits).collect()
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out} == {(i, max(g), len(g), i == max(g)) for g in groups.values() for i in g} and len(out) == 60
+
+
 def test_state_goes_on(spark, tmp_path):
     """A second run with the same state reads only what is new and remembers what came before."""
     form = "doc_id long, file string, place long, sha string, digest string"
