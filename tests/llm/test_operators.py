@@ -616,6 +616,51 @@ def test_mix(spark, docs, empty):
     assert taken.columns == rows.columns and taken.count() == sum(r.copies for r in out)
 
 
+def test_mix_keeps_shares(spark):
+    """Languages are spread unevenly over sources; with balance they keep their shares, and sources their targets."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    rows = []
+    for i in range(3000):
+        source = int(rng.integers(3))
+        lang = ["en", "de", None][int(rng.choice(3, p=[[0.8, 0.1, 0.1], [0.3, 0.6, 0.1], [0.2, 0.3, 0.5]][source]))]
+        rows.append((i, "w " * int(rng.integers(1, 30)), f"s{source}", lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    langs = {i: g for i, _, _, g in rows}
+    total = sum(len(t.split()) for _, t, _, _ in rows)
+    shares = {g: sum(len(t.split()) for _, t, _, x in rows if x == g) / total for g in ("en", "de", None)}
+
+    def took(out):
+        n = sum(r.taken for r in out)
+        return {g: sum(r.taken for r in out if langs[r.doc_id] == g) / n for g in shares}
+
+    out = mixing.mix(df, balance="lang").collect()
+    plain = mixing.mix(df).collect()
+    for g, share in shares.items():
+        assert abs(took(out)[g] - share) < 0.01
+    assert max(abs(took(plain)[g] - share) for g, share in shares.items()) > 0.03
+    for s in ("s0", "s1", "s2"):
+        mine = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3 * 30 and all(r.taken <= 3 * r.size for r in mine)
+        assert len({r.rate for r in mine}) == 3  # documents of one source are tilted by their languages
+    # rates are exponential in the sum of the two duals: cross ratios are 1
+    rate = {(r.source, langs[r.doc_id]): r.rate for r in out}
+    assert math.isclose(rate["s0", "en"] * rate["s1", "de"], rate["s0", "de"] * rate["s1", "en"], rel_tol=1e-6)
+
+
+def test_mix_where_shares_cannot_be_had(spark):
+    """One source a language, a source at its limit, empty sources, and more values than have constraints."""
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 4}", f"l{i % 4}" if i % 8 else None) for i in range(400)] + [(1000 + i, "w", "few", f"v{i}") for i in range(40)] + [(2000, "", "none", "x"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.mix(df, balance="lang").collect()
+    assert len(out) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in out)
+    for s in ("s0", "s1", "s2", "s3", "few"):
+        mine = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5 * 17
+    taken = mixing.mixed(df, balance="lang")
+    assert taken.columns == df.columns and taken.count() == sum(r.copies for r in out)
+    assert mixing.mix(df.limit(0), balance="lang").count() == 0
+
+
 def test_rates_solve_the_dual(spark):
     sources = spark.createDataFrame([("a", 100, 300.0), ("b", 50, 10.0), ("c", 0, 0.0), ("d", 10, 0.0)], "key string, total long, target double")
     got = {r.key: r.rate for r in mixing.rates(sources).collect()}
