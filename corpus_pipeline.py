@@ -23,13 +23,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: five-word shingles, a similarity of 0.8."""
+    """One document of each near-duplicate component: five-word shingles, a similarity of 0.8 (op5's contract says four words)."""
     return neardup.deduplicated(docs, width=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mixed(docs, weights=(1, 2, 3), limit=3)
+    """Documents as often as the mix takes them: sources by weight, languages with the shares that they have."""
+    return mixing.mixed(docs, weights=(1, 2, 3), limit=3, balance="lang")
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,8 @@ STAGES = [
     ("pieces", pieces_stage),
 ]
 
-#: A trained classifier, MinHash buckets and sampled segmentations have no SQL; tests compare with brute force.
+#: A trained classifier and sampled segmentations have no SQL. Tests compare the exact and near stages with
+#: plain versions over all pairs, the mix with its constraints, and the pieces with the texts they decode to.
 ORACLE_SQL = None
 
 
