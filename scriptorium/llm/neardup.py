@@ -212,18 +212,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     weight = F.col("n") + F.lit(BLOCK_SHINGLES // BLOCK_SETS)
     hubs = pairs.groupBy("hub").agg(F.sum(weight).alias("weight"))
     parts = F.ceil(F.col("weight") / F.lit(BLOCK_SHINGLES)).cast("long")
-    large = small(written(hubs.where(parts > 1).select("hub", parts.alias("parts")), "large"))
-    light = pairs.agg(F.sum(weight)).first()[0] or 0
-    buckets = max(1, -(-int(light) // BLOCK_SHINGLES))
+    light, most = hubs.agg(F.sum("weight"), F.max("weight")).first()
+    buckets = max(1, -(-int(light or 0) // BLOCK_SHINGLES))
+    if (most or 0) > BLOCK_SHINGLES:
+        large = small(written(hubs.where(parts > 1).select("hub", parts.alias("parts")), "large"))
+        pairs = pairs.join(large, "hub", "left")
+    else:
+        large, pairs = None, pairs.withColumn("parts", F.lit(None).cast("long"))
     # a large hub's members are dealt to tasks of its own, small hubs share tasks
     own = F.array(F.col("hub"), F.pmod(F.xxhash64("rep"), "parts"))
     task = F.when(F.col("parts").isNotNull(), own).otherwise(F.array(F.lit(-1).cast("long"), F.pmod(F.xxhash64("hub"), F.lit(buckets))))
-    placed = written(pairs.join(large, "hub", "left").select(task.alias("task"), F.col("hub").alias("a"), F.col("rep").alias("b")), "placed")
+    placed = written(pairs.select(task.alias("task"), F.col("hub").alias("a"), F.col("rep").alias("b")), "placed")
     need = placed.select(F.col("task").alias("for_task"), F.col("a").alias("rep")).union(placed.select("task", "b")).distinct()
     whole = need.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("for_task", "rep", "text")
     ship(pairs.sparkSession)
     found = written(placed.groupBy("task").cogroup(whole.groupBy("for_task")).applyInArrow(lambda x, y: similar(x, y, width, percent), "a long, b long"), "found")
-    dropped(large, placed)
+    dropped(*([placed] if large is None else [large, placed]))
     return found
 
 
@@ -315,18 +319,20 @@ def rest_links(owned: DataFrame, hubs: DataFrame, texts: DataFrame, width: int,
 def components(links: DataFrame) -> DataFrame:
     """(v, root): the least vertex that each vertex of links (a, b) can reach."""
     left = written(links.select("a", "b").where("a <> b").distinct(), "links")
-    labels = written(left.select(F.col("a").alias("v")).union(left.select("b")).distinct().withColumn("root", F.col("v")), "labels")
+    first = left
+    labels = left.select(F.col("a").alias("v")).union(left.select("b")).distinct().withColumn("root", F.col("v"))
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         hooked = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
         jump = hooked.select(F.col("a").alias("p"), F.col("p").alias("q"))
         parent = written(hooked.join(jump, "p").select("a", F.col("q").alias("p")), "parents")
-        before = labels, left, parent
+        before = labels, left, parent  # the first links are read by the first labels
         labels = written(labels.join(parent.select(F.col("a").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root")), "labels")
         to_b = parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         left = written(left.join(parent, "a").join(to_b, "b").select(F.col("p").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), "links")
         dropped(*before)
-    dropped(left)
+    if left is not first:
+        dropped(left)
     return labels
 
 
