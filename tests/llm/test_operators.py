@@ -253,6 +253,20 @@ def test_secrets(spark, docs, empty):
     assert secrets.digest(secrets.scan(empty)).count() == 0
 
 
+def test_secrets_that_prove_themselves():
+    """npm tokens carry a checksum, signed tokens decode to JSON; what only looks like them is no secret."""
+    import base64
+    import json
+
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    body = "abcdefghijABCDEFGHIJ0123456789"
+    npm, jwt = "npm_" + body + secrets.checksum62(body), f"{part({'alg': 'HS256'})}.{part({'sub': 'x'})}.c2ln"
+    text = f"a {npm} b npm_{body}AAAAAA c {jwt} d {part({'typ': 'x'})}.{part({'sub': 'x'})}.c2ln"
+    [piece] = B.slices(pa.array([text]))
+    found = [(secrets.KINDS[k], text[a:b]) for _, a, k, b in secrets.find(piece)]
+    assert found == [("npm", npm), ("jwt", jwt)]
+
+
 # -- 5, 9: duplicates
 
 
