@@ -27,14 +27,20 @@ def _register(name: str, sql: str):
     return add
 
 
+#: Files that one task makes and reads.
+FILES_A_TASK = 2000
+
+
 def _files(rows: DataFrame, make: Callable[..., bytes], *columns: str, path) -> DataFrame:
-    """path, content: one file for each row."""
+    """path, content: one file for each row. The rows are dealt out first: a table of many short rows may be one split."""
 
     @F.pandas_udf("binary")
     def made(*parts: pd.Series) -> pd.Series:
         return pd.Series([make(*x) for x in zip(*parts)])
 
-    return rows.select(path.alias("path"), made(*columns).alias("content"))
+    tasks = max(1, -(-rows.count() // FILES_A_TASK))
+    rows = rows.select(path.alias("__path"), *columns).repartition(tasks)
+    return rows.select(F.col("__path").alias("path"), made(*columns).alias("content"))
 
 
 def _named(files: DataFrame) -> DataFrame:
