@@ -77,11 +77,15 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: no lineage, and it survives lost executors."""
+def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: no lineage, and it survives lost executors.
+
+    files: how many a table of few short rows goes into at most. Without native libraries a local file
+    system starts a process for each file that is made.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

@@ -36,6 +36,8 @@ SUBSETS = ["80", "80", "40", "40", "10", "10", "10", "10", "04", "04", "04", "04
 BROADCAST_TERMS = 400_000
 NONE = "--------"
 _KNOTS, _BUCKET_ROWS = 128, 500
+#: Files of the lexicon and of the buckets' heads.
+_FILES = 8
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -48,11 +50,11 @@ def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
     n = docs.count()
     counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # written before the masks are made: a condition on them would be pushed below the count, and be asked of every word
-    band = written(counted.where((F.col("df") >= F.lit(low * n)) & (F.col("df") <= F.lit(high * n))).select("term"), "band")
+    band = written(counted.where((F.col("df") >= F.lit(low * n)) & (F.col("df") <= F.lit(high * n))).select("term"), "band", _FILES)
     digest, mask = F.md5("term"), F.lit(0)
     for j, bound in enumerate(SUBSETS):
         mask = mask + F.when(F.substring("digest", 2 * j + 1, 2) < bound, 1 << j).otherwise(0)
-    return written(band.withColumn("digest", digest).select("term", mask.alias("mask")).where("mask > 0"), "lexicon")
+    return written(band.withColumn("digest", digest).select("term", mask.alias("mask")).where("mask > 0"), "lexicon", _FILES)
 
 
 def _bucket(docs: DataFrame) -> Column:
@@ -94,12 +96,12 @@ def neighbours(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("tie", F.xxhash64("text"))
     docs = docs.withColumn("bucket", _bucket(docs))
     heads = docs.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
-    chain = written(ranked(heads.withColumn("key", -F.col("bucket"))).select("rank", "bucket", "head.doc_id", "head.tie"), "heads")
+    chain = written(ranked(heads.withColumn("key", -F.col("bucket"))).select("rank", "bucket", "head.doc_id", "head.tie"), "heads", _FILES)
     n = chain.count()
     previous = chain.select(((F.col("rank") - 1 + n) % F.lit(max(n, 1))).alias("rank"), F.col("doc_id").alias("head_id"), F.col("tie").alias("head_tie")).join(chain.select("rank", F.col("bucket").alias("to")), "rank")
     # of equal rows one will do
     same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
-    previous = small(written(previous, "heads"))  # one row for each bucket; beyond the bound the join shuffles
+    previous = small(written(previous, "heads", _FILES))  # one row for each bucket; beyond the bound the join shuffles
     copies = docs.join(previous, (F.col("tie") == F.col("head_tie")) & same).groupBy("to", "doc_id", "tie").agg(F.first("text").alias("text"))
     rows = docs.select("bucket", "doc_id", "text", "tie", F.lit(0).alias("copy")).union(copies.select(F.col("to").alias("bucket"), "doc_id", "text", "tie", F.lit(1)))
     order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())

@@ -787,3 +787,27 @@ def test_samples_follow_the_lattice():
     every = next(iter(B.slices(pa.array(["thing"]))))
     samples = pieces.sample(pieces.Texts(every, model, keys[:1]), 100)[0]
     assert {tuple(s[0].tolist()) for s in samples} == set(p) and all(s[3] == 1.0 for s in samples)
+
+
+def test_imatch_writes_few_files_over_many_partitions(spark, monkeypatch):
+    """The lexicon and the buckets' heads are small: not one file for each shuffle partition."""
+    made, real = [], imatch.written
+
+    def seen(*args):
+        out = real(*args)
+        made.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(imatch, "written", seen)
+    monkeypatch.setattr(imatch, "_BUCKET_ROWS", 2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 60}" for j in range(9))) for i in range(120)], "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert imatch.fingerprints(docs, low=0.01, high=0.9).count() == 120
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(made) == 4 and max(made) <= 8
