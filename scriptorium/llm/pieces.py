@@ -40,7 +40,7 @@ from scriptorium.llm import _bytes as B
 from scriptorium.llm._common import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE = 1 << 19
+SLICE = 1 << 17
 _SPACE, _FEED = 0x20, 0x0A
 
 
@@ -233,7 +233,7 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 #: Nodes of the units that are kept from slice to slice: about 90 bytes each with their edges.
-KEPT = 1 << 21
+KEPT = 1 << 20
 
 
 class Units:

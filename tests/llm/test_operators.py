@@ -811,3 +811,24 @@ def test_imatch_writes_few_files_over_many_partitions(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(made) == 4 and max(made) <= 8
+
+
+def test_pieces_memory_over_many_units():
+    """What is kept from slice to slice, and what a slice needs, leave two workers room beside an executor."""
+    import tracemalloc
+
+    model = pieces.Pieces.load(pieces.MODEL, 0.4)
+    rng = np.random.default_rng(5)
+    letters = np.array(list("etaoinshrdlu"))
+    texts = [" ".join("".join(rng.choice(letters, 8)) for _ in range(2500)) for _ in range(120)]  # 2.7 MB, hardly a unit twice
+    column = pa.array(texts)
+    units, keys = pieces.Units(model), pieces.row_seeds(pa.array(range(len(texts)), pa.int64()), 17)
+    tracemalloc.start()
+    try:
+        for piece in B.slices(column, pieces.SLICE):
+            found = pieces.Texts(piece, model, keys[piece.first : piece.first + piece.rows], units)
+            assert all(pieces.exact_rows(found, d).all() for d in pieces.draw(found, 2))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 300e6
